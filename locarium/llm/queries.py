@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .minhash import OP7_SQL, op7_minhash
 from .pii import op2_pii
 from .quality import op4_quality
 from .secret_scan import op6_secret_scan
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op6_secret_scan": op6_secret_scan,
+    "op7_minhash": op7_minhash,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_minhash": OP7_SQL}
