@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .embed_dedup import OP8_SQL, op8_embed_dedup
 from .minhash import OP7_SQL, op7_minhash
 from .pii import op2_pii
 from .quality import op4_quality
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_secret_scan": op6_secret_scan,
     "op7_minhash": op7_minhash,
+    "op8_embed_dedup": op8_embed_dedup,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {"op7_minhash": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_minhash": OP7_SQL, "op8_embed_dedup": OP8_SQL}
