@@ -8,6 +8,7 @@ from .minhash import OP7_SQL, op7_minhash
 from .pii import op2_pii
 from .quality import op4_quality
 from .secret_scan import op6_secret_scan
+from .topk import OP9_SQL, op9_topk
 from .toxicity import op10_toxicity
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_minhash": op7_minhash,
     "op8_embed_dedup": op8_embed_dedup,
+    "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {"op7_minhash": OP7_SQL, "op8_embed_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_minhash": OP7_SQL, "op8_embed_dedup": OP8_SQL, "op9_topk": OP9_SQL}
