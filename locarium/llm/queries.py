@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .embed_dedup import OP8_SQL, op8_embed_dedup
+from .license_scan import op3_license_scan
 from .minhash import OP7_SQL, op7_minhash
 from .mixing import OP1_SQL, op1_mixing
 from .pii import op2_pii
@@ -15,6 +16,7 @@ from .toxicity import op10_toxicity
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
+    "op3_license_scan": op3_license_scan,
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op6_secret_scan": op6_secret_scan,
