@@ -1,0 +1,231 @@
+"""Normalisers for phones, names, addresses, links and dates, as column expressions.
+
+Patterns use no lookaround, so that another SQL engine can run the same ones.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_PHONE = r"(^|[^0-9])(?:\+?1[-. ]?)?\(?([2-9][0-9]{2})\)?[-. ]*([0-9]{3})[-. ]*([0-9]{4})"
+PHONE_EXT = _PHONE + r"[ ,]*(?:ext\.?|x)[ ]*([0-9]+)"
+PHONE = _PHONE + r"\b"
+INVISIBLE = "[​‌‍⁠﻿]"
+
+
+def _c(x: Column | str) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def squeezed(x) -> Column:
+    """White space runs to one space, ends trimmed (S-27)."""
+    return F.trim(F.regexp_replace(_c(x), r"[\s ]+", " "))
+
+
+def format_phones(x) -> Column:
+    """All US numbers in a text as ``(XXX) XXX-XXXX[ ext. N]``; N/A texts stay (S-1, S-2)."""
+    plain = squeezed(F.regexp_replace(_c(x), INVISIBLE, ""))
+    done = F.regexp_replace(F.regexp_replace(plain, PHONE_EXT, "$1($2) $3-$4 ext. $5"), PHONE, "$1($2) $3-$4")
+    return F.when(_c(x).rlike(r"^\s*(?i:n/a)\b"), _c(x)).otherwise(done)
+
+
+def phone_count(x) -> Column:
+    """How many readable numbers a text has (S-3)."""
+    return F.coalesce(F.regexp_count(F.regexp_replace(_c(x), INVISIBLE, ""), F.lit(PHONE)), F.lit(0))
+
+
+def phone_digits(x) -> Column:
+    """Ten digits of each separated number in a text, or of a text that is only digits (S-4)."""
+    found = F.transform(F.regexp_extract_all(_c(x), F.lit(r"\(?[2-9][0-9]{2}\)?[-. ]+[0-9]{3}[-. ]+[0-9]{4}\b"), F.lit(0)), lambda p: F.regexp_replace(p, "[^0-9]", ""))
+    digits = F.regexp_replace(_c(x), "[^0-9]", "")
+    only = F.when(F.length(digits) == 10, F.array(digits)).when(digits.rlike("^1[0-9]{10}$"), F.array(F.substring(digits, 2, 10))).otherwise(F.array().cast("array<string>"))
+    numbers = F.when(F.size(found) > 0, found).otherwise(only)
+    return F.filter(numbers, lambda d: F.substring(d, 4, 3) != "555")
+
+
+def fold_text(s: str) -> str:
+    """Compatibility decomposition, ASCII only, case folded, trimmed (S-11)."""
+    return unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().casefold().strip()
+
+
+def fold(x) -> Column:
+    """:func:`fold_text` over Arrow batches: Spark has no normalising function. Null is blank."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([fold_text(v) if v else "" for v in batch.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(_c(x))
+
+
+def slug(folded: Column, fallback: str = "unknown") -> Column:
+    """Of a folded text: letters and digits joined by hyphens (S-11)."""
+    s = F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.when(s == "", F.lit(fallback)).otherwise(s)
+
+
+def unit_key(state: Column, folded_name: Column) -> Column:
+    """State and the bare name of an administrative unit (S-12)."""
+    bare = F.regexp_replace(F.regexp_replace(folded_name, r"\b(county|parish|borough|municipality|city and borough|census area)\b", ""), "[^a-z]", "")
+    return F.concat_ws(":", state, bare)
+
+
+def respelled(x, rules: list[tuple[str, str]]) -> Column:
+    """Ordered replacements (S-5)."""
+    out = _c(x)
+    for pattern, new in rules:
+        out = F.regexp_replace(out, pattern, new)
+    return out
+
+
+def split_role(x) -> Column:
+    """``Name (role)`` or ``Name, role`` to a struct; generational suffixes belong to the name (S-6)."""
+    s = F.trim(_c(x))
+    in_parentheses = s.rlike(r"^.+\([^()]+\)$")
+    suffix = r",\s*(Jr|Sr|II|III|IV)\.?"
+    kept = F.regexp_replace(s, suffix, " $1")
+    name = F.when(in_parentheses, F.trim(F.regexp_replace(s, r"\([^()]+\)$", ""))).otherwise(F.trim(F.substring_index(kept, ",", 1)))
+    role = F.when(in_parentheses, F.regexp_extract(s, r"\(([^()]+)\)$", 1)).otherwise(F.when(F.contains(kept, F.lit(",")), F.trim(F.regexp_replace(kept, r"^[^,]*,\s*", ""))).otherwise(F.lit("")))
+    return F.struct(name.alias("name"), role.alias("role"))
+
+
+def formatted_list(x, one) -> Column:
+    """Apply ``one`` to each non-empty item of a ``; `` list (S-7, X1)."""
+    items = F.filter(F.transform(F.split(_c(x), ";"), lambda i: F.trim(i)), lambda i: i != "")
+    return F.array_join(F.transform(items, one), "; ")
+
+
+def roman_suffix(x) -> Column:
+    """Generational numerals in capitals (S-9): one replacement for each numeral."""
+    return respelled(x, [(rf"(?i)\b{n}$", n) for n in ("II", "III", "IV")])
+
+
+def lower_emails(x) -> Column:
+    """Addresses inside a text in lower case (S-10): split at them, as no function replaces by callback."""
+    pattern = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"
+    found = F.regexp_extract_all(_c(x), F.lit(pattern), F.lit(0))
+    return F.aggregate(F.array_distinct(found), _c(x), lambda acc, e: F.replace(acc, e, F.lower(e)))
+
+
+def straight_quotes(x) -> Column:
+    return F.translate(_c(x), "‘’“”", "''\"\"")
+
+
+def prose_ranges(x) -> Column:
+    """Hyphens between times and days become en dashes (S-10)."""
+    day = r"(Mon|Tue|Wed|Thu|Fri|Sat|Sun)"
+    return respelled(x, [(r"([0-9]) ?- ?([0-9]{1,2}:[0-9]{2})", "$1–$2"), (rf"\b{day} ?- ?{day}\b", "$1–$2")])
+
+
+def bare_domain(x) -> Column:
+    """A link that is only a domain loses its last slash (S-10)."""
+    return F.regexp_replace(_c(x), r"^(https?://[^/]+)/$", "$1")
+
+
+def domain(x) -> Column:
+    """Host in lower case without www. and port (S-23); a bare host counts."""
+    return F.regexp_replace(F.lower(F.regexp_extract(_c(x), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:\s]+)", 1)), r"^www\.", "")
+
+
+def short_url(x) -> Column:
+    """Without scheme, www. and last slash (S-24)."""
+    return F.regexp_replace(F.regexp_replace(_c(x), r"^https?://(www\.)?", ""), "/$", "")
+
+
+def other_spellings(x) -> Column:
+    """The same link with www. and the scheme toggled (S-23)."""
+    www = F.when(_c(x).rlike(r"^https?://www\."), F.regexp_replace(_c(x), r"^(https?://)www\.", "$1")).otherwise(F.regexp_replace(_c(x), r"^(https?://)", "$1www."))
+    scheme = F.when(F.startswith(_c(x), F.lit("https:")), F.regexp_replace(_c(x), "^https:", "http:")).otherwise(F.regexp_replace(_c(x), "^http:", "https:"))
+    return F.array(www, scheme)
+
+
+def channel_key(x) -> Column:
+    """One key for the spellings of a channel's link (S-25)."""
+    return F.lower(F.regexp_replace(F.regexp_replace(short_url(x), r"[?#].*$", ""), r"/(videos|live|streams|featured)?/?$", ""))
+
+
+def date_label(x) -> Column:
+    """``DD Mon YYYY`` if the month is one, else the text as it is (S-26)."""
+    month = F.element_at(F.array(*[F.lit(m) for m in "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()]), F.regexp_extract(_c(x), r"^\d{4}-(\d{2})-\d{2}$", 1).try_cast("int"))
+    ok = _c(x).rlike(r"^[0-9]{4}-(0[1-9]|1[0-2])-[0-9]{2}$")
+    return F.when(ok, F.concat_ws(" ", F.substring(_c(x), 9, 2), month, F.substring(_c(x), 1, 4))).otherwise(_c(x))
+
+
+def weekday_label(x) -> Column:
+    """The day's name in English (S-31)."""
+    return F.element_at(F.array(*[F.lit(d) for d in "Sunday Monday Tuesday Wednesday Thursday Friday Saturday".split()]), F.dayofweek(_c(x)))
+
+
+def html_escape(x) -> Column:
+    """Ampersands first (S-28)."""
+    out = _c(x)
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def share_url(base: Column, ident: Column, key: str = "place") -> Column:
+    """The page's link without query and hash, naming one id (S-29)."""
+    return F.concat(F.regexp_replace(base, r"[?#].*$", ""), F.lit(f"?{key}="), F.url_encode(ident))
+
+
+def csv_guard(x) -> Column:
+    """A cell that a spreadsheet would take for a formula gets a quote before it (SK6)."""
+    return F.when(_c(x).rlike(r"^[=+@\-\t\r]"), F.concat(F.lit("'"), _c(x))).otherwise(_c(x))
+
+
+def address_parts(x) -> Column:
+    """``street, city, ST zip`` to city, state and zip, blank where absent (S-14)."""
+    parts = F.transform(F.split(_c(x), ","), lambda p: F.trim(p))
+    city = F.when(F.size(parts) >= 2, F.element_at(parts, -2)).otherwise(F.lit(""))
+    last = F.element_at(parts, -1)
+    return F.struct(city.alias("city"), F.regexp_extract(last, r"^([A-Z]{2})\b", 1).alias("state"), F.regexp_extract(last, r"\b([0-9]{5})(?:-[0-9]{4})?$", 1).alias("zip"))
+
+
+def _tokens(x: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "), " "), lambda t: t != ""))
+
+
+def addresses_match(a: Column, b: Column) -> Column:
+    """Same street number, and the words of one are among the other's (S-16, U5)."""
+    number = lambda x: F.regexp_extract(x, r"^\s*([0-9]+)\b", 1)
+    ta, tb = _tokens(a), _tokens(b)
+    subset = (F.size(F.array_except(ta, tb)) == 0) | (F.size(F.array_except(tb, ta)) == 0)
+    return (number(a) == number(b)) & (number(a) != "") & subset
+
+
+def same_person(a: Column, b: Column) -> Column:
+    """Surnames equal or sharing a hyphenated part, and given names equal or one beginning the other (S-17)."""
+    words = lambda x: F.filter(F.split(F.regexp_replace(F.lower(x), "[^a-z -]+", " "), " +"), lambda t: t != "")
+    wa, wb = words(a), words(b)
+    last = F.arrays_overlap(F.split(F.element_at(wa, -1), "-"), F.split(F.element_at(wb, -1), "-"))
+    ga, gb = F.element_at(wa, 1), F.element_at(wb, 1)
+    return F.coalesce((F.size(wa) > 1) & (F.size(wb) > 1) & last & (F.startswith(ga, gb) | F.startswith(gb, ga)), F.lit(False))
+
+
+_LABEL_LIMIT = 140
+
+
+def nearest_label(text: str, start: int, end: int, labels: dict[str, str]) -> str:
+    """The role whose word stands nearest to a span (S-21): a line break before it costs 40,
+    standing after it 15; words beyond 140 before or 40 after don't count."""
+    best, role = None, ""
+    for word, name in labels.items():
+        for m in re.finditer(rf"\b{re.escape(word)}\b", text, re.IGNORECASE):
+            if m.end() <= start:
+                gap = start - m.end()
+                cost = gap + 40 * ("\n" in text[m.end() : start]) if gap <= _LABEL_LIMIT else None
+            elif m.start() >= end:
+                gap = m.start() - end
+                cost = gap + 15 if gap <= 40 else None
+            else:
+                continue
+            if cost is not None and (best is None or cost < best):
+                best, role = cost, name
+    return role
