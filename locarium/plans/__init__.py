@@ -1,6 +1,6 @@
 """Queries over the reference operators, each with the SQL that must give the same rows."""
 
-from . import directory
+from . import directory, merging, normalising
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "directory"]
+__all__ = ["ORACLE_SQL", "QUERIES", "directory", "merging", "normalising"]
