@@ -1,6 +1,6 @@
 """Queries over the reference operators, each with the SQL that must give the same rows."""
 
-from . import directory, merging, normalising, spatial
+from . import decisions, directory, merging, normalising, pages, spatial
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "directory", "merging", "normalising", "spatial"]
+__all__ = ["ORACLE_SQL", "QUERIES", "decisions", "directory", "merging", "normalising", "pages", "spatial"]
