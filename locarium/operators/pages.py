@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
+from .lineage import cut
+
 _DROPPED = {"script", "style", "noscript", "template", "svg"}
 _BLOCKS = {"p", "div", "br", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "nav", "table", "ul", "ol", "title", "body"}
 PAGE = pa.struct([("title", pa.string()), ("lines", pa.list_(pa.string())), ("links", pa.list_(pa.struct([("href", pa.string()), ("label", pa.string())]))), ("jsonld", pa.list_(pa.string()))])
@@ -147,7 +149,7 @@ def crawl_depths(edges: DataFrame, roots: DataFrame, most: int = 3) -> DataFrame
     frontier = reached
     for d in range(1, most + 1):
         found = edges.join(frontier.select(F.col("page").alias("src")), "src").select(F.col("dst").alias("page")).distinct()
-        frontier = found.join(reached.select("page"), "page", "left_anti").withColumn("depth", F.lit(d))
+        frontier = cut(found.join(reached.select("page"), "page", "left_anti").withColumn("depth", F.lit(d)))
         reached = reached.unionByName(frontier)
     return reached
 
