@@ -10,6 +10,7 @@ run backwards from a hit, finds where the match starts.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,12 +99,18 @@ class Scanner:
         return found
 
 
+@lru_cache(maxsize=8)
+def compiled(rules: tuple[Rule, ...]) -> Scanner:
+    """Compiling takes seconds; a session does it once for each set of rules."""
+    return Scanner(rules)
+
+
 SCHEMA = "kinds array<string>, starts array<int>, ends array<int>"
 
 
 def secret_spans(rules: tuple[Rule, ...] = BASE + MORE):
     """A column function: text -> struct of parallel arrays kinds, starts, ends (code points)."""
-    scanner = Scanner(rules)
+    scanner = compiled(rules)
 
     def make():
         def one(text: str) -> tuple:
