@@ -11,7 +11,8 @@ MILES = 3958.8
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = MILES) -> Column:
     """Great-circle miles; infinity where a coordinate is missing (GE1)."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.coalesce(2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), a))), F.lit(float("inf")))
+    # `least` skips nulls, so a missing coordinate must be asked for
+    return F.when(a.isNull(), F.lit(float("inf"))).otherwise(2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), a))))
 
 
 def parse_coordinates(text: Column) -> Column:

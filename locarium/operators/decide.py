@@ -59,3 +59,50 @@ def ordered_problems(problems: DataFrame, severity: list[str]) -> DataFrame:
     for k, s in reversed(list(enumerate(severity))):
         place = F.when(F.col("problem") == s, F.lit(k)).otherwise(place)
     return problems.withColumn("severity", place).orderBy("severity", F.lower("name"), "id")
+
+
+def named_contact(facts: DataFrame, people: DataFrame) -> DataFrame:
+    """(id, value) of contacts whose evidence names the lead (D3): the only best one by distinct pages.
+
+    ``people``: id, surname.
+    """
+    rows = facts.join(people, "id").where(F.contains(F.lower("evidence"), F.lower("surname")))
+    pages = rows.groupBy("id", "value").agg(F.countDistinct("url").alias("pages"))
+    return unique_best(pages, ["id"], [F.desc("pages")]).select("id", "value", "pages")
+
+
+def lead_person(facts: DataFrame, history: str, staff: str) -> DataFrame:
+    """(id, name, role_kind) of the lead (D4): mentions off history pages, strong roles before weak
+    ones, staff pages before others; only if all that remain have one surname."""
+    rows = facts.where(~F.col("url").rlike(history)).withColumn("rank", F.struct((F.col("role_kind") != "lead").alias("weak"), (~F.col("url").rlike(staff)).alias("elsewhere")))
+    best = rows.groupBy("id").agg(F.min("rank").alias("rank"))
+    top = rows.join(best, ["id", "rank"])
+    surname = F.lower(F.element_at(F.split(F.trim("name"), " +"), -1))
+    one = top.groupBy("id").agg(F.countDistinct(surname).alias("n"), F.min_by(F.struct("name", "role_kind"), F.struct("url", "name")).alias("p"))
+    return one.where("n = 1").select("id", "p.*")
+
+
+def name_changes(records: DataFrame, leads: DataFrame, mentions: DataFrame, same, titles: str) -> DataFrame:
+    """(id, current_value, new_value): another lead, if the current one is mentioned nowhere (D6); a
+    recorded title stays in front."""
+    shown = mentions.join(records, "id").where(same(F.col("name"), F.col("current_value"))).select("id").distinct()
+    rows = records.join(leads.select("id", F.col("name").alias("found")), "id").join(shown, "id", "left_anti").where(~same(F.col("found"), F.col("current_value")))
+    title = F.regexp_extract("current_value", rf"^({titles})\s", 1)
+    return rows.select("id", "current_value", F.when(title != "", F.concat_ws(" ", title, "found")).otherwise(F.col("found")).alias("new_value"))
+
+
+def address_changes(records: DataFrame, clusters: DataFrame, shown_numbers: DataFrame) -> DataFrame:
+    """(id, current_value, new_value): the one address cluster (D8), if it stands on two pages or is
+    structured, and the current street number is shown nowhere. ``clusters``: id, head, pages, structured."""
+    one = clusters.groupBy("id").agg(F.count("*").alias("n"), F.first("head").alias("head"), F.max("pages").alias("pages"), F.bool_or("structured").alias("structured")).where("n = 1 and (structured or pages >= 2)")
+    number = F.regexp_extract("current_value", r"^\s*([0-9]+)\b", 1)
+    rows = records.join(one, "id").withColumn("number", number).join(shown_numbers, ["id", "number"], "left_anti")
+    return rows.where("head <> current_value").select("id", "current_value", F.col("head").alias("new_value"))
+
+
+def channel_changes(records: DataFrame, links: DataFrame, key) -> DataFrame:
+    """(id, new_value): a blank channel is filled by the only one that the site links."""
+    from .facts import single_value
+
+    blank = records.where(checker_blank("current_value"))
+    return blank.join(single_value(links, ["id"], key, "value", "ord"), "id").select("id", F.col("value").alias("new_value"))

@@ -48,4 +48,4 @@ def places_sql(table: str = "supplier") -> str:
 
 
 def miles_sql(lat: float, lon: float) -> str:
-    return f"""coalesce(2 * 3958.8 * asin(sqrt(least(1.0, pow(sin(radians(lat - {lat}) / 2), 2) + cos(radians({lat})) * cos(radians(lat)) * pow(sin(radians(lon - ({lon})) / 2), 2)))), 'infinity'::DOUBLE)"""
+    return f"""CASE WHEN lat IS NULL OR lon IS NULL THEN 'infinity'::DOUBLE ELSE 2 * 3958.8 * asin(sqrt(least(1.0, pow(sin(radians(lat - {lat}) / 2), 2) + cos(radians({lat})) * cos(radians(lat)) * pow(sin(radians(lon - ({lon})) / 2), 2)))) END"""

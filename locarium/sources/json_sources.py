@@ -73,3 +73,38 @@ def read_each(spark: SparkSession, paths: list[str], read) -> tuple[list[DataFra
         except Exception as e:
             errors.append((p, str(e).splitlines()[0]))
     return frames, errors
+
+
+def topology_shapes(text: str, layer: str) -> list[tuple[str, dict, list]]:
+    """(id, properties, parts) of one layer of a quantised topology: delta-coded arcs to rings (SC8)."""
+    doc = json.loads(text)
+    scale, shift = (doc["transform"][k] for k in ("scale", "translate")) if "transform" in doc else ((1, 1), (0, 0))
+    arcs = []
+    for arc in doc["arcs"]:
+        x = y = 0
+        points = []
+        for dx, dy, *_ in arc:
+            x, y = (x + dx, y + dy) if "transform" in doc else (dx, dy)
+            points.append((float(x * scale[0] + shift[0]), float(y * scale[1] + shift[1])))
+        arcs.append(points)
+
+    def ring(refs):
+        out = []
+        for r in refs:
+            points = arcs[r] if r >= 0 else arcs[~r][::-1]
+            out += points[1:] if out else points
+        return out
+
+    out = []
+    for g in doc["objects"][layer]["geometries"]:
+        polygons = {"Polygon": lambda a: [a], "MultiPolygon": lambda a: a}.get(g.get("type"), lambda a: [])(g.get("arcs"))
+        out.append((str(g.get("id")), {k: str(v) for k, v in (g.get("properties") or {}).items()}, [[ring(r) for r in rings] for rings in polygons]))
+    return out
+
+
+def read_topojson(spark: SparkSession, path: str, layer: str) -> DataFrame:
+    """(id, properties, geom) of a topology file, decoded where the file is read."""
+    kind = T._parse_datatype_string("array<struct<id:string,properties:map<string,string>,geom:array<array<array<struct<x:double,y:double>>>>>>")
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    shapes = F.udf(lambda text: topology_shapes(text, layer), kind)  # one call a file
+    return files.select(F.explode(shapes("value")).alias("s")).select("s.*")
