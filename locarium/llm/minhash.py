@@ -11,8 +11,12 @@ and J = 0.8, once in a million.
 2. Half keys that nobody shares are dropped before the tables' keys are formed.
 3. Members of a table's bucket are linked to its smallest member (a star), and
    the links are confirmed on full sets.
-4. Buckets that still hold several components are compared within, in blocks of
-   bounded size, so that no link between components is lost and no task or
+4. Buckets that still hold several components are compared within, first by the
+   half keys alone: members of different components that share enough of them form
+   clusters (of those of similarity 0.8 fewer than one pair in a million share less
+   than the standard 6 of 28). The sets of each cluster are then compared once, all
+   with all, as matrix products. Both go by blocks of bounded size, and emit at most
+   one row for each member, so that no link between components is lost and no
    table grows with the square of a group.
 """
 
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, table, text_udf
+from .base import Scratch, spread, table, text_udf
 from .components import connected_components
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -101,33 +105,80 @@ def _confirmed(sets_a: pd.Series, sets_b: pd.Series, num: int, den: int) -> pd.S
     return pd.Series([similar(load(a), load(b), num, den) for a, b in zip(sets_a, sets_b, strict=True)], dtype=bool)
 
 
+def _joined(label: np.ndarray, at: np.ndarray) -> None:
+    """Give all rows of the labels found at these places the smallest of them."""
+    found = np.unique(label[at])
+    if len(found) > 1:
+        label[np.isin(label, found)] = found[0]
+
+
+def _alike(rows: pd.DataFrame, num: int, den: int, agree: int) -> pd.DataFrame:
+    """(a, b): a spanning forest of the pairs of one pair of blocks of a bucket that may be
+    similar - of different components, sizes that allow it, and ``agree`` equal half keys."""
+    block, comp = rows["block"].to_numpy(), rows["comp"].to_numpy()
+    keys, size, reps = np.stack(rows["keys"].to_numpy()), rows["n"].to_numpy(), rows["rep"].to_numpy()
+    p, q = rows["p"].iat[0], rows["q"].iat[0]
+    values, many = np.unique(comp, return_counts=True)
+    odd = comp != values[many.argmax()]  # pairs within the commonest component need no look
+    label = np.arange(len(reps))
+    sides = [(np.flatnonzero((block == p) & odd), np.flatnonzero(block == q))]
+    if p != q:
+        sides.append((np.flatnonzero((block == q) & odd), np.flatnonzero((block == p) & ~odd)))
+    for left, right in sides:
+        turned = np.ascontiguousarray(keys[right].T)
+        for i in left:
+            same = np.zeros(len(right), np.uint8)
+            for k, key in enumerate(keys[i]):
+                same += turned[k] == key
+            n = size[right]
+            may = (same >= agree) & (comp[right] != comp[i]) & (den * np.minimum(n, size[i]) >= num * np.maximum(n, size[i]))
+            if may.any():
+                _joined(label, np.append(right[may], i))
+    met = np.isin(label, np.flatnonzero(np.bincount(label, minlength=len(label)) > 1))
+    return pd.DataFrame({"a": reps[met], "b": reps[label[met]]}).astype("int64")
+
+
+def shared_shingles(first: list[np.ndarray], second: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets: a product of 0/1 matrices over the shingles
+    that more than one set has, so many columns at a time."""
+    sets = first + second
+    every, place, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(many > 1) - 1
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    often = many[place] > 1
+    row, col = row[often], number[place[often]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(first), len(second)), np.float32)
+    for start in range(0, int(number[-1]) + 1 if len(number) else 0, columns):
+        low, high = np.searchsorted(col, [start, start + columns])
+        there = np.zeros((len(sets), min(columns, int(number[-1]) + 1 - start)), np.float32)
+        there[row[low:high], col[low:high] - start] = 1
+        out += there[: len(first)] @ there[len(first) :].T
+    return out.astype(np.int64)
+
+
 def _between(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """Links that join components of one pair of blocks; each joined pair is looked at once."""
+    """(a, b): links of one pair of blocks of a cluster that join components."""
+    block, comp = rows["block"].to_numpy(), rows["comp"].to_numpy()
     p, q = rows["p"].iat[0], rows["q"].iat[0]
-    block, comp, reps = rows["block"].to_numpy(), rows["comp"].tolist(), rows["rep"].tolist()
     sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-    root = {c: c for c in comp}
-
-    def find(x):
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    out = []
-    first = [i for i in range(len(reps)) if block[i] == p]
-    second = first if p == q else [i for i in range(len(reps)) if block[i] == q]
-    for i in first:
-        for j in second:
-            if p == q and j <= i:
-                continue
-            x, y = find(comp[i]), find(comp[j])
-            if x != y and similar(sets[i], sets[j], num, den):
-                root[max(x, y)] = min(x, y)
-                out.append((comp[i], comp[j]))
-    return pd.DataFrame(out, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100), halves: int = 14, rows: int = 2, block: int = 64, most_sent: int = 500_000, seed: int = 5) -> DataFrame:
+    left = np.flatnonzero(block == p)
+    right = left if p == q else np.flatnonzero(block == q)
+    values, place = np.unique(comp, return_inverse=True)
+    label = np.arange(len(values))
+    if len(values) > 1 and len(left) and len(right):
+        both = shared_shingles([sets[i] for i in left], [sets[j] for j in right])
+        n = np.array([len(x) for x in sets])
+        linked = den * both >= num * (n[left][:, None] + n[right] - both)
+        for k, i in enumerate(left):
+            to = place[right[linked[k]]]
+            _joined(label, np.append(to, place[i]))
+    moved = label != np.arange(len(label))
+    return pd.DataFrame({"a": values[moved], "b": values[label[moved]]}).astype("int64")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100), halves: int = 14, rows: int = 2, agree: int = 6, block: int = 512, most_sent: int = 500_000, seed: int = 5) -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if the Jaccard similarity of their sets of distinct
@@ -136,7 +187,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     A document without words or text has an empty set and is linked with nothing.
     Repeated rows are linked with each other (and each kept, if they have the
     smallest id); a null doc_id never names a component unless no other is in it.
-    Other columns of docs aren't read. ``most_sent``: up to so many candidate ids
+    Other columns of docs aren't read. ``agree``: equal half keys of a pair worth a
+    comparison; ``block``: rows of a block. ``most_sent``: up to so many candidate ids
     are broadcast to find their texts; more are joined by a shuffle.
     """
     spark, (num, den) = docs.sparkSession, similarity
@@ -148,15 +200,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     # half keys that at least two classes share
     of = lambda side: F.transform(F.col(side), lambda x, i: F.struct(F.lit(side == "a").alias("first"), F.xxhash64(F.lit(side), i, x).alias("key")))
     half = classes.where("rep is not null").select("rep", F.explode(F.concat(of("a"), of("b"))).alias("h")).select("rep", "h.*")
-    shared = half.groupBy("key").agg(F.count("*").alias("of")).where("of > 1").select("key")
-    tensor = half.join(shared, "key").groupBy("rep").agg(F.collect_list(F.when(F.col("first"), F.col("key"))).alias("a"), F.collect_list(F.when(~F.col("first"), F.col("key"))).alias("b"))
+    shared = half.groupBy("key").agg(F.count("*").alias("of")).where("of > 1")
+    tensor = half.join(shared, "key").groupBy("rep").agg(F.collect_list(F.when(F.col("first"), F.col("key"))).alias("a"), F.collect_list(F.when(~F.col("first"), F.col("key"))).alias("b"), F.sum("of").alias("score"))
     tensor = scratch.keep(tensor.where("size(a) > 0 and size(b) > 0"))
 
     # tables: every pair of half keys; of buckets with the same members one is enough
-    keyed = tensor.select("rep", F.explode("a").alias("x"), "b").select("rep", "x", F.explode("b").alias("y")).select("rep", F.xxhash64("x", "y").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("of"), F.min("rep").alias("center"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("of > 1")
+    keyed = tensor.select("rep", "score", F.explode("a").alias("x"), "b").select("rep", "score", "x", F.explode("b").alias("y")).select("rep", "score", "x", F.xxhash64("x", "y").alias("key"))
+    # the center: the member whose half keys most others share, so that most are linked to it
+    center = F.max(F.struct("score", (-F.col("rep")).alias("m"), "rep"))["rep"]
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("of"), center.alias("center"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("of > 1")
     buckets = buckets.groupBy("of", "center", "members").agg(F.min("key").alias("key"))
-    members = scratch.keep(keyed.join(buckets.drop("members"), "key"))
+    members = scratch.keep(keyed.drop("score").join(buckets.drop("members"), "key"))
 
     # full sets of the candidates, from their texts
     wanted = scratch.keep(members.select("rep").distinct().join(classes.select("rep", "f1", "f2"), "rep"))
@@ -187,12 +241,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     comp = connected_components(links, scratch)
 
     # buckets that still hold several components, in blocks
-    known = members.where("of > 2").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "of", F.coalesce("component", "rep").alias("comp"))
-    mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    blocks = F.ceil(F.col("of") / block).cast("int")
-    dealt = known.join(mixed, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", "comp", "block", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"))
-    more = dealt.join(sets, "rep").groupBy("key", "p", "q").applyInPandas(lambda rows: _between(rows, num, den), "a long, b long")
+    # (those of one center that share a half key go together: a group of copies shares most of its buckets)
+    known = members.where("of > 2").select(F.xxhash64("x", "center").alias("key"), "rep").distinct()
+    known = scratch.keep(known.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")))
+    mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("of")).where("low < high").select("key", "of")
+    halves_of = classes.select("rep", "n", F.transform(F.concat("a", "b"), lambda x: F.shiftright(x, 32).cast("int")).alias("keys"))
+    dealt = _dealt(known.join(mixed, "key"), "of", 2 * block, ["key", "rep", "comp"]).join(halves_of, "rep")
+    # by an explicit number: few bytes, but much work, which mustn't meet in a few tasks
+    parts = spread(docs)
+    alike = dealt.repartition(parts, "key", "p", "q").groupBy("key", "p", "q").applyInPandas(lambda rows: _alike(rows, num, den, agree), "a long, b long")
+    clusters = connected_components(scratch.keep(alike.distinct()), scratch)
+    # a cluster's root isn't listed, so it is added
+    clusters = scratch.keep(clusters.withColumnsRenamed({"id": "rep", "component": "cluster"}).unionByName(clusters.select(F.col("component").alias("rep"), F.col("component").alias("cluster")).distinct()))
+    clusters = clusters.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "cluster", F.coalesce("component", "rep").alias("comp"))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("of"))
+    dealt = _dealt(clusters.join(sizes, "cluster"), "of", block, ["cluster", "rep", "comp"]).join(sets, "rep")
+    more = dealt.repartition(parts, "cluster", "p", "q").groupBy("cluster", "p", "q").applyInPandas(lambda rows: _between(rows, num, den), "a long, b long")
     over = connected_components(scratch.keep(more.distinct()), scratch)
 
     named = classes.select("rep", "f1", "f2").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -204,6 +268,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _dealt(rows: DataFrame, of: str, block: int, columns: list[str]) -> DataFrame:
+    """Deal groups of size ``of`` to blocks, and each member to the pairs (p, q) of its own block and every other."""
+    rows = rows.withColumn("blocks", F.ceil(F.col(of) / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(*columns, "block", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"))
+
+
 def _pair_check(num: int, den: int):
     def check(a: pd.Series, b: pd.Series) -> pd.Series:
         return _confirmed(a, b, num, den)
