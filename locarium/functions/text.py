@@ -70,9 +70,13 @@ def slug(folded: Column, fallback: str = "unknown") -> Column:
     return F.when(s == "", F.lit(fallback)).otherwise(s)
 
 
-def unit_key(state: Column, folded_name: Column) -> Column:
+#: Words that say what kind of unit a name means. A parameter.
+UNIT_WORDS = ("county", "borough", "municipality", "district")
+
+
+def unit_key(state: Column, folded_name: Column, words: tuple[str, ...] = UNIT_WORDS) -> Column:
     """State and the bare name of an administrative unit (S-12)."""
-    bare = F.regexp_replace(F.regexp_replace(folded_name, r"\b(county|parish|borough|municipality|city and borough|census area)\b", ""), "[^a-z]", "")
+    bare = F.regexp_replace(F.regexp_replace(folded_name, rf"\b({'|'.join(words)})\b", ""), "[^a-z]", "")
     return F.concat_ws(":", state, bare)
 
 

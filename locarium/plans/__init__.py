@@ -1,4 +1,4 @@
-"""Queries over the reference operators, each with the SQL that must give the same rows."""
+"""Queries over the directory operators, each with the SQL that must give the same rows."""
 
 from . import decisions, directory, merging, normalising, pages, spatial
 from .registry import ORACLE_SQL, QUERIES

@@ -217,15 +217,15 @@ def unit_index(spark, sf_dir):
     return nation.groupBy("key").agg(F.count("*").alias("units"), F.sort_array(F.collect_list("n_nationkey")).alias("fips"), F.bool_or(F.col("n_nationkey") >= 20).alias("city"))
 
 
-_SITES = "(SELECT s_suppkey AS id, 'Diocese of ' || n_name AS site, CASE WHEN s_suppkey % 5 = 0 THEN 'elsewhere' ELSE lower(n_name) || ' ' END AS label, CAST(s_suppkey AS VARCHAR) AS key FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+_SITES = "(SELECT s_suppkey AS id, 'Group of ' || n_name AS site, CASE WHEN s_suppkey % 5 = 0 THEN 'elsewhere' ELSE lower(n_name) || ' ' END AS label, CAST(s_suppkey AS VARCHAR) AS key FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
 _EXCEPT = "(SELECT CAST(n * 10 AS VARCHAR) AS key FROM (SELECT unnest(range(1, 60)) AS n))"
 
 
 def _mismatches(spark, sf_dir):
     nation = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     rows = load(spark, sf_dir, "supplier").join(nation, "s_nationkey")
-    rows = rows.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Diocese of "), "n_name").alias("site"), F.when(F.col("s_suppkey") % 5 == 0, "elsewhere").otherwise(F.concat(F.lower("n_name"), F.lit(" "))).alias("label"), F.col("s_suppkey").cast("string").alias("key"))
-    short = lambda c: T.squeezed(F.regexp_replace(F.lower(c), r"^diocese of\b", ""))
+    rows = rows.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Group of "), "n_name").alias("site"), F.when(F.col("s_suppkey") % 5 == 0, "elsewhere").otherwise(F.concat(F.lower("n_name"), F.lit(" "))).alias("label"), F.col("s_suppkey").cast("string").alias("key"))
+    short = lambda c: T.squeezed(F.regexp_replace(F.lower(c), r"^group of\b", ""))
     allowed = spark.range(1, 60).select((F.col("id") * 10).cast("string").alias("key"))
     return rows.where(short("site") != short("label")), allowed
 

@@ -1,4 +1,4 @@
-"""Streaming import. An extension: the batch operators are the reference behaviour."""
+"""Streaming import. An extension: the batch operators define the results."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Every registered reference query against its SQL, at the smallest scale."""
+"""Every registered directory query against its SQL, at the smallest scale."""
 
 import os
 
