@@ -151,7 +151,7 @@ def similar_vectors(vectors: DataFrame, ident: str = "vec_id", column: str = "em
 
     Rows of equal group and vector form one class that goes on once; they are linked with
     each other. Null or zero vectors, and those with null or non-finite components, link with
-    nothing; nor do rows of null group. Shorter vectors are filled with zeros. Rows of
+    nothing; nor do rows of null group or null id. Shorter vectors are filled with zeros. Rows of
     one id aren't compared with each other. The codebooks are fitted on at most ``sample`` vectors, with words
     for about ``cell`` vectors of an average group in each cell, ``most_words`` at most; every
     vector is in the index. Large cells are dealt to tasks in blocks of about ``block``.
@@ -160,9 +160,9 @@ def similar_vectors(vectors: DataFrame, ident: str = "vec_id", column: str = "em
     scratch = Scratch(spark, "vectors")
     rows = vectors.select(F.col(ident).alias("id"), F.col(group).alias("g"), F.when(usable(column), F.col(column)).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    rows = rows.withColumn("norm", norm).withColumn("live", F.col("g").isNotNull() & F.coalesce(F.col("norm") > 0, F.lit(False)) & F.coalesce(F.col("norm") < float("inf"), F.lit(False)))
+    rows = rows.withColumn("norm", norm).withColumn("live", F.col("id").isNotNull() & F.col("g").isNotNull() & F.coalesce(F.col("norm") > 0, F.lit(False)) & F.coalesce(F.col("norm") < float("inf"), F.lit(False)))
     rows = scratch.keep(rows.withColumn("f", F.when(F.col("live"), F.md5(F.to_json(F.struct("v"))))))
-    classes = rows.where("live and id is not null").groupBy("g", "f").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    classes = rows.where("live").groupBy("g", "f").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
     classes = scratch.keep(classes.select("g", "f", "rep", "copies", "v"))
     width = dimension(classes, "v")
     stats = classes.agg(F.count("*"), F.countDistinct("g")).first()

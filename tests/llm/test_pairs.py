@@ -121,6 +121,8 @@ def test_similar_vectors(spark):
         if cell == 64:
             assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (n[i], want[i], want[i] == i) for i, *_ in rows}
     assert embed_dedup.similar_vectors(df.limit(0)).count() == 0
+    twice = df.where("vec_id = 0").selectExpr("null as vec_id", "embedding", "label").unionByName(df.where("vec_id = 0").select("vec_id", "embedding", "label"))
+    assert {(r.vec_id, r.n_links) for r in embed_dedup.similar_vectors(twice).collect()} == {(None, 0), (0, 0)}
 
 
 def test_top_k(spark):
