@@ -43,7 +43,9 @@ def text_udf(make: Callable[[], Callable[[str], tuple]], schema: str) -> Callabl
             for value in batch:
                 for column, x in zip(out, one(value.as_py() or ""), strict=True):
                     column.append(x)
-            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(out, arrow, strict=True)], names)
+            done = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(out, arrow, strict=True)], names)
+            del out, batch
+            yield done
 
     return F.arrow_udf(run, spark_type).asNondeterministic()
 

@@ -93,7 +93,7 @@ class Utf8Machine:
 class Transducer(dict):
     """Piece of text -> its packed ids; remembers the last ``most`` pieces at least, twice as many at most."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         super().__init__()
         self.most, self.older = most, {}
         with open(path, encoding="utf-8") as f:
@@ -141,7 +141,7 @@ class Transducer(dict):
     def fits(self, a: int, b: int) -> bool:
         """Whether a and b, side by side, are the merge result of their bytes."""
         found = self.merged(self.token_bytes[a] + self.token_bytes[b]) == [a, b]
-        if len(self.side_by_side) >= 4 * self.most:
+        if len(self.side_by_side) >= 2 * self.most:
             self.side_by_side.clear()
         self.side_by_side[a << 20 | b] = found
         return found

@@ -30,7 +30,7 @@ class _Words(dict):
     without marks at its edges, of its edge marks, and of its first ``prefix`` letters.
     """
 
-    def __init__(self, prefix: int, most: int = 400_000):
+    def __init__(self, prefix: int, most: int = 150_000):
         self.prefix, self.most, self.wide = prefix, most, 2 + (prefix > 0)
         self.hashes, self.parts = array("Q"), _Cached()
 
@@ -120,7 +120,10 @@ class Ftrl:
             self.push(b, wb, -g)
 
     def weights(self) -> np.ndarray:
-        return self.at(np.arange((1 << self.bits) + 1))
+        out = np.zeros((1 << self.bits) + 1, np.float32)
+        active = np.append(np.flatnonzero(np.abs(self.z[:-1]) > self.l1), 1 << self.bits)
+        out[active] = self.at(active)
+        return out
 
 
 @dataclass
@@ -129,16 +132,16 @@ class Model:
     weights: np.ndarray
 
     def score(self, text: str) -> float:
-        logit = float(self.weights[self.features(text)].sum() + self.weights[-1])
+        logit = float(self.weights[self.features(text)].sum(dtype=np.float64)) + float(self.weights[-1])
         return float(1 / (1 + np.exp(-np.clip(logit, -35, 35))))
 
     def column(self):
         """A column function: text -> struct with the double ``score``."""
         features, kept = self.features, np.flatnonzero(self.weights).astype(np.int32)
-        values, size = self.weights[kept].astype(np.float64), len(self.weights)
+        values, size = self.weights[kept], len(self.weights)
 
         def make():
-            weights = np.zeros(size)
+            weights = np.zeros(size, np.float32)
             weights[kept] = values
             model = Model(features, weights)
             return lambda text: (model.score(text),)
@@ -186,6 +189,7 @@ def fitted(sample: DataFrame, counts: dict[int, int], features: Features, learne
     column = text_udf(make, "ids array<int>, others array<array<int>>")
     rows = sample.select("id", "label", column("text").alias("f")).select("id", "label", "f.*").toArrow().sort_by("id")
     data = [(np.asarray(ids.values, np.int32), y, [np.asarray(o.values, np.int32) for o in others or ()]) for ids, y, others in zip(rows["ids"], rows["label"].to_pylist(), rows["others"], strict=True)]
+    del rows
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for k in rng.permutation(len(data)):

@@ -39,7 +39,7 @@ _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 600_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
