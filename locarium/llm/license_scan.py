@@ -1,9 +1,12 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, each is normalised and looked up among known
-license sentences, and the sequence of identifiers is matched against ordered
-rules: at each place the first rule whose identifiers stand there wins. A
-sentence that speaks of a license but isn't known is reported as ``unknown``.
+A text is cut into sentences at end marks and blank lines, and these into pieces
+at single newlines and ``;``. Each piece is normalised (without comment marks)
+and, from each piece on, the longest run of pieces that is a known license
+sentence is looked up, so that wrapped sentences and one-line notices are found
+alike. The sequence of identifiers is matched against ordered rules: at each
+place the first rule whose identifiers stand there wins. What stands between and
+speaks of a license but isn't known is reported as ``unknown``.
 """
 
 from __future__ import annotations
@@ -65,8 +68,9 @@ RULES = (
 )
 #: Only sentences that hold one of these can be known, or speak of a license.
 ANCHORS = ("licen", "free software", "without any warranty", "as is", "permission", "redistribution", "rights reserved")
-_BREAK = re.compile(r"(?<=[.!?])\s+|\n+")
-_EDGE = re.compile(r"^[\s#*/;%\-]+|[\s.!?:;,*/#]+$")
+_WIDE = [re.compile(r"\W+".join(a.split())) for a in ANCHORS if " " in a]
+_BREAK = re.compile(r"(?<=[.!?])\s+|(?<=[^\s;#*/];)\s+|\n+")
+_EDGE = re.compile(r"^[\s#*/;%\-<>!|]+|[\s.!?:;,*/#\-<>|]+$")
 _MARK = re.compile(r"[\"'“”‘’()<>,;/:]+|(?<![0-9])\.|\.(?![0-9])")
 _SPEAKS = re.compile(r"\blicens(?:e|ed|es)\b")
 
@@ -79,31 +83,73 @@ def normalised(sentence: str) -> str:
 
 class LicenseScanner:
     def __init__(self, sentences: dict[str, str] = SENTENCES, rules: tuple[LicenseRule, ...] = RULES):
-        self.sentences = [(k, re.compile(p)) for k, p in sentences.items()]
+        # a space may be a break of pieces ("\n"), and a sentence ends where a piece does
+        self.sentences = [(k, re.compile(rf"(?:{p})(?![^\n])".replace(" ", r"\s"), re.DOTALL)) for k, p in sentences.items()]
         self.rules = rules
 
+    @staticmethod
+    def _pieces(text: str) -> list[list[tuple[int, int, str]]]:
+        """Sentences as lists of (start, end, normalised) pieces. A number after a full stop (``v. 2.0``)
+        and a paragraph that begins with a link belong to the sentence before."""
+        out, at, ended, blank = [], 0, True, False
+        for m in [*_BREAK.finditer(text), None]:
+            end = m.start() if m else len(text)
+            plain = normalised(text[at:end])
+            if plain:
+                if ended or (blank and not plain.startswith(("http ", "https "))):
+                    out.append([])
+                out[-1].append((at, end, plain))
+                ended = blank = False
+            else:
+                blank = True
+            if m:
+                at = m.end()
+                ended = ended or (text[end - 1 : end] in (".", "!", "?") and not text[at : at + 1].isdigit())
+                blank = blank or m.group().count("\n") > 1
+        return out
+
+    def _known(self, pieces: list[tuple[int, int, str]], joined: str) -> dict[int, tuple[int, str, dict]]:
+        """Piece -> (piece after the sentence, identifier, captured), where a known sentence begins.
+        A sentence holds no beginning of another, but may be one with words before it."""
+        ends, places, at = {}, [], 0
+        for k, (_, _, plain) in enumerate(pieces):
+            places.append(at)
+            at += len(plain) + 1
+            ends[at - 1] = k + 1
+        out, following, limit = {}, None, len(joined)
+        for k in range(len(pieces) - 1, -1, -1):
+            for name, pattern in self.sentences:
+                found = pattern.match(joined, places[k], limit)
+                if not found and following and following[1] == name:
+                    last = places[following[0]] - 1 if following[0] < len(pieces) else len(joined)
+                    found = pattern.match(joined, places[k], last)
+                    found = found if found and found.end() == last else None
+                if found:
+                    out[k] = following = (ends[found.end()], name, found.groupdict())
+                    limit = max(places[k] - 1, 0)
+                    break
+        return out
+
     def identified(self, text: str) -> list[tuple[int, int, str, dict]]:
         """(start, end, identifier, captured) of the sentences that are known or speak of a license;
         others that stand between give the identifier ``""``."""
         lowered = text.lower()
-        if not any(a in lowered for a in ANCHORS):
+        if not any(a in lowered for a in ANCHORS) and not any(a.search(lowered) for a in _WIDE):
             return []
-        out, at = [], 0
-        for m in [*_BREAK.finditer(text), None]:
-            end = m.start() if m else len(text)
-            if end > at:
-                sentence = text[at:end]
-                low, name, got = sentence.lower(), "", {}
-                if any(a in low for a in ANCHORS):
-                    plain = normalised(sentence)
-                    for k, pattern in self.sentences:
-                        if found := pattern.fullmatch(plain):
-                            name, got = k, found.groupdict()
-                            break
-                    else:
-                        name = "unknown" if _SPEAKS.search(plain) else ""
-                out.append((at, end, name, got))
-            at = m.end() if m else end
+        out = []
+        for pieces in self._pieces(text):
+            joined = "\n".join(p for _, _, p in pieces)
+            low = joined.replace("\n", " ")
+            known = self._known(pieces, joined) if any(a in low for a in ANCHORS) else {}
+            k = 0
+            while k < len(pieces):
+                if k in known:
+                    to, name, got = known[k]
+                else:
+                    to = next((j for j in range(k + 1, len(pieces)) if j in known), len(pieces))
+                    name, got = "unknown" if any(_SPEAKS.search(p) for _, _, p in pieces[k:to]) else "", {}
+                out.append((pieces[k][0], pieces[to - 1][1], name, got))
+                k = to
         return out
 
     def licenses(self, text: str) -> list[tuple[str, int, int]]:

@@ -133,6 +133,68 @@ def test_license_rules_against_brute_force():
         assert [x[0] for x in s.licenses("\n".join(lines[p] for p in picks))] == want
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Neither the name of the holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+
+
+@pytest.mark.parametrize("text, want", [(MIT, "MIT"), (GPL, "GPL-3+"), (BSD, "BSD-3-Clause"), (APACHE, "Apache-2.0")])
+def test_wrapped_licenses(text, want):
+    s = license_scan.LicenseScanner()
+    assert s.licenses(text) == [(want, 0, len(text))]
+    for mark in ("# ", " * ", "// ", "; "):
+        commented = "\n".join((mark + line).rstrip() for line in text.split("\n"))
+        assert s.licenses(commented) == [(want, 0, len(commented))]
+    unwrapped = "\n\n".join(" ".join(p.split()) for p in text.split("\n\n"))
+    assert s.licenses(unwrapped) == [(want, 0, len(unwrapped))]
+    windows = text.replace("\n", "\r\n")
+    assert s.licenses(windows) == [(want, 0, len(windows))]
+    assert [x[0] for x in s.licenses(f"Some prose here\n\n{text}\n\nReleased under the MIT license\nmore prose")] == [want, "MIT"]
+
+
+def test_one_line_notices_among_lines():
+    s = license_scan.LicenseScanner()
+    text = "a line of prose\nReleased under the MIT License\nanother line\nLicensed under the GNU General Public License\nversion 2\nCopyright 2020 A\nAll rights reserved\nlast"
+    assert [(n, text[a:b].split("\n")[0]) for n, a, b in s.licenses(text)] == [("MIT", "Released under the MIT License"), ("GPL-2", "Licensed under the GNU General Public License"), ("All-Rights-Reserved", "Copyright 2020 A")]
+    assert [x[0] for x in s.licenses("Copyright 2020 A\nReleased under the MIT License\nAll rights reserved")] == ["MIT", "All-Rights-Reserved"]
+    assert [x[0] for x in s.licenses("This work is\nlicensed under the MIT License\nSPDX-License-Identifier: MIT")] == ["MIT", "SPDX:mit"]
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."
+    assert s.licenses(mpl) == [("MPL-2.0", 0, len(mpl))]
+    assert [x[0] for x in s.licenses("all\n * rights\n * reserved")] == ["All-Rights-Reserved"]
+
+
 @pytest.fixture(scope="module")
 def machine():
     from tokenizers import Tokenizer
