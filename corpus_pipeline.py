@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from locarium.llm.base import Scratch, table
 from locarium.llm.bpe import encoded
-from locarium.llm.minhash import near_duplicates
+from locarium.llm.minhash import near_duplicates, row_key
 from locarium.llm.mixing import Mix, mixed_documents
 from locarium.llm.quality import THRESHOLD, train_quality
 from locarium.llm.secret_scan import redact, secret_spans
@@ -33,20 +33,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id; repeated rows
-    of it are dropped too (the smallest text stays). Rows without an id stay."""
-    gone = near_duplicates(docs, width=5)
-    gone = gone.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows")).where("doc_id is not null and (not kept or rows > 1)")
-    gone = Scratch(spark, "dedup").keep(gone)
+    """One document of each group of near duplicates, that of the smallest id; where several rows
+    of the group have it, the smallest text stays. Rows of one id in different groups are told
+    apart, and rows without an id stay."""
+    gone = near_duplicates(docs, width=5, keys=True).where("doc_id is not null").groupBy("doc_id", "component")
+    gone = gone.agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows"), F.collect_set("key").alias("keys")).where("not kept or rows > 1")
+    gone = Scratch(spark, "dedup").keep(gone.select("doc_id", "component", "kept", F.explode("keys").alias("key")))
     few = gone.count() <= 1_000_000  # ids to send; beyond that, a shuffle
-    drop = gone.where("not kept").select("doc_id")
-    kept = docs.select(*COLUMNS).join(F.broadcast(drop) if few else drop, "doc_id", "left_anti")
-    again = gone.where("kept").select("doc_id")
+    drop = gone.where("not kept").select("doc_id", "key")
+    rows = docs.select(*COLUMNS, row_key().alias("key"))
+    kept = rows.join(F.broadcast(drop) if few else drop, ["doc_id", "key"], "left_anti")
+    again = gone.where("kept").select("doc_id", "key", "component")
     if not again.take(1):
-        return kept
+        return kept.select(*COLUMNS)
     again = F.broadcast(again) if few else again
-    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
-    return kept.join(again, "doc_id", "left_anti").unionByName(one).select(*COLUMNS)
+    one = kept.join(again, ["doc_id", "key"]).groupBy("doc_id", "component").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    return kept.join(again, ["doc_id", "key"], "left_anti").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

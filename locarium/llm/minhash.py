@@ -27,7 +27,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import Scratch, spread, table, text_udf
@@ -178,7 +178,12 @@ def _between(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     return pd.DataFrame({"a": values[moved], "b": values[label[moved]]}).astype("int64")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100), halves: int = 14, rows: int = 2, agree: int = 6, block: int = 512, most_sent: int = 500_000, seed: int = 5) -> DataFrame:
+def row_key() -> Column:
+    """A hash of doc_id and text, which tells rows of one id apart."""
+    return F.xxhash64("doc_id", "text")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100), halves: int = 14, rows: int = 2, agree: int = 6, block: int = 512, most_sent: int = 500_000, seed: int = 5, keys: bool = False) -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if the Jaccard similarity of their sets of distinct
@@ -189,17 +194,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     smallest id); a null doc_id never names a component unless no other is in it.
     Other columns of docs aren't read. ``agree``: equal half keys of a pair worth a
     comparison; ``block``: rows of a block. ``most_sent``: up to so many candidate ids
-    are broadcast to find their texts; more are joined by a shuffle.
+    are broadcast to find their texts; more are joined by a shuffle. With ``keys`` also
+    key (:func:`row_key`) and component, a number that differs where an id that stands on
+    several texts names several components (null for an empty set).
     """
     spark, (num, den) = docs.sparkSession, similarity
     scratch = Scratch(spark, "minhash")
     sign = text_udf(partial(Signer, width, halves, rows, seed), "n long, f1 long, f2 long, a array<long>, b array<long>")
-    signed = scratch.keep(docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*"))
-    classes = scratch.keep(signed.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")))
+    signed = scratch.keep(docs.select("doc_id", row_key().alias("key"), sign("text").alias("s")).select("doc_id", "key", "s.*"))
+    # a class is one set, whatever ids its rows have; rep numbers it
+    classes = signed.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
+    classes = scratch.keep(classes.withColumn("rep", F.monotonically_increasing_id()))
 
     # half keys that at least two classes share
     of = lambda side: F.transform(F.col(side), lambda x, i: F.struct(F.lit(side == "a").alias("first"), F.xxhash64(F.lit(side), i, x).alias("key")))
-    half = classes.where("rep is not null").select("rep", F.explode(F.concat(of("a"), of("b"))).alias("h")).select("rep", "h.*")
+    half = classes.select("rep", F.explode(F.concat(of("a"), of("b"))).alias("h")).select("rep", "h.*")
     shared = half.groupBy("key").agg(F.count("*").alias("of")).where("of > 1")
     tensor = half.join(shared, "key").groupBy("rep").agg(F.collect_list(F.when(F.col("first"), F.col("key"))).alias("a"), F.collect_list(F.when(~F.col("first"), F.col("key"))).alias("b"), F.sum("of").alias("score"))
     tensor = scratch.keep(tensor.where("size(a) > 0 and size(b) > 0"))
@@ -213,7 +222,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     members = scratch.keep(keyed.drop("score").join(buckets.drop("members"), "key"))
 
     # full sets of the candidates, from their texts
-    wanted = scratch.keep(members.select("rep").distinct().join(classes.select("rep", "f1", "f2"), "rep"))
+    wanted = scratch.keep(members.select("rep").distinct().join(classes.select("rep", "key", "f1", "f2"), "rep"))
     found = F.broadcast(wanted) if wanted.count() <= most_sent else wanted
 
     def full():
@@ -226,7 +235,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
 
         return one
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(found, "rep")
+    texts = docs.select(row_key().alias("key"), "text").join(found, "key")
     sets = texts.select("rep", "f1", "f2", text_udf(full, "g1 long, g2 long, shingles binary")("text").alias("s")).where("s.g1 = f1 and s.g2 = f2")
     sets = scratch.keep(sets.groupBy("rep").agg(F.first("s.shingles").alias("shingles")))
 
@@ -259,12 +268,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     more = dealt.repartition(parts, "cluster", "p", "q").groupBy("cluster", "p", "q").applyInPandas(lambda rows: _between(rows, num, den), "a long, b long")
     over = connected_components(scratch.keep(more.distinct()), scratch)
 
-    named = classes.select("rep", "f1", "f2").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = named.join(over.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("f1", "f2", F.coalesce("top", "component").alias("component"))
+    named = classes.select("rep", "first", "f1", "f2").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = named.join(over.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("first", "f1", "f2", F.coalesce("top", "component").alias("component"))
     named = scratch.keep(named)
+    # the smallest id of each component of several classes
+    least = scratch.keep(named.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("of")).where("of > 1").drop("of"))
+    least = F.broadcast(least) if least.count() <= most_sent else least
+    named = scratch.keep(named.join(least, "component", "left").select("f1", "f2", "component", F.coalesce("least", "first").alias("name")))
     scratch.drop(tensor, members, wanted, sets, links, classes)
-    out = signed.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = signed.select("doc_id", "key", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id"), *(["key", "component"] if keys else []))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -99,3 +99,19 @@ def test_run_and_empty_tables(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    words = lambda tag, n=60: [f"{tag}{k}" for k in range(n)]
+    near = " ".join(words("a")[:-1] + ["end"])
+    rows = [(1, " ".join(words("a"))), (5, " ".join(words("b"))), (5, " ".join(words("c"))), (5, near), (5, " ".join(words("b"))), (6, " ".join(words("c")[:-1] + ["end"])), (7, ""), (7, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    # of the three texts of 5, one resembles 1 and goes; 6 resembles another; equal rows become one
+    assert sorted((r.doc_id, r.text.split(" ")[0]) for r in P.near_dedup(spark, docs, SF).collect()) == [(1, "a0"), (5, "b0"), (5, "c0"), (7, "")]
+
+
+def test_near_copies_without_an_id_are_compared(spark):
+    text = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(text)), (3, " ".join(text[:-1] + ["end"])), (2, "other words " * 9), (None, " ".join(["start"] + text[1:-1]))]
+    found = P.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=5).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in found) == [(0, 3, False), (0, 3, False), (2, 2, True), (3, 3, True)]
