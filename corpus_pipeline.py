@@ -59,7 +59,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Nine tenths of the words, drawn to equal weights of domains, languages and sources."""
+    """Nine tenths of the words: larger domains, languages and sources are cut towards equal weights, none is repeated."""
     return mixed_documents(docs.select(*COLUMNS), MIX)
 
 
