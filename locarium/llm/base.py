@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -21,12 +23,24 @@ def sha256_hex(value: str | bytes) -> str:
     return hashlib.sha256(value.encode() if isinstance(value, str) else value).hexdigest()
 
 
-def text_udf(make: Callable[[], Callable[[str], tuple]], schema: str) -> Callable[[str | Column], Column]:
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on after its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def text_udf(make: Callable[[], Callable[[str], tuple]], schema: str, done: Callable[[], None] = lambda: None) -> Callable[[str | Column], Column]:
     """A column function from a text to a struct, one text at a time over Arrow batches.
 
     ``make`` runs once in each Python worker task and returns the function of one
     text (null arrives as the empty text). Only one text and the results of one
-    batch are held at a time. It is marked nondeterministic so that the optimiser
+    slice of a batch are held at a time; what the function holds goes when the task
+    ends, ``done`` clears what it shares with other tasks of the worker, and freed
+    memory is given back. It is marked nondeterministic so that the optimiser
     never evaluates it twice for a filter and a projection.
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -36,16 +50,24 @@ def text_udf(make: Callable[[], Callable[[str], tuple]], schema: str) -> Callabl
     names = [f.name for f in spark_type.fields]
     arrow = [to_arrow_type(f.dataType) for f in spark_type.fields]
 
+    def results(one: Callable[[str], tuple], texts: pa.Array) -> pa.Array:
+        out: list[list] = [[] for _ in names]
+        for value in texts:
+            for column, x in zip(out, one(value.as_py() or ""), strict=True):
+                column.append(x)
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(out, arrow, strict=True)], names)
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = make()
-        for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for value in batch:
-                for column, x in zip(out, one(value.as_py() or ""), strict=True):
-                    column.append(x)
-            done = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(out, arrow, strict=True)], names)
-            del out, batch
-            yield done
+        try:
+            for batch in batches:
+                parts = [results(one, batch[k : k + 1000]) for k in range(0, len(batch), 1000)]
+                yield parts[0] if len(parts) == 1 else pa.concat_arrays(parts or [results(one, batch)])
+                del batch, parts
+        finally:
+            del one
+            done()
+            give_back()
 
     return F.arrow_udf(run, spark_type).asNondeterministic()
 

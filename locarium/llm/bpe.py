@@ -15,8 +15,10 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -91,9 +93,10 @@ class Utf8Machine:
 
 
 class Transducer(dict):
-    """Piece of text -> its packed ids; remembers the last ``most`` pieces at least, twice as many at most."""
+    """Piece of text -> its packed ids. Every piece goes through :meth:`stream`; results of pieces of
+    up to 64 bytes are remembered, the last ``most`` of them at least and twice as many at most."""
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 100_000):
         super().__init__()
         self.most, self.older = most, {}
         with open(path, encoding="utf-8") as f:
@@ -114,7 +117,7 @@ class Transducer(dict):
                 raise ValueError("added tokens that strip or need whole words aren't supported")
             self.special[t["content"]] = t["id"]
             self.token_bytes[t["id"]] = t["content"].encode()
-        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.byte_ids = [vocab[c] for c in sorted(letters, key=letters.get)]
         self.rank = {vocab[a] << 20 | vocab[b]: k for k, (a, b) in enumerate(pairs)}
         self.product = [vocab[a + b] for a, b in pairs]
@@ -122,61 +125,11 @@ class Transducer(dict):
         self.window = 3 * self.lookahead
         self.pieces = regex.compile(PATTERN)
         self.latin = latin_pattern()
-        self.ids = {b: i for i, b in reversed(list(enumerate(self.token_bytes))) if b and i not in self.special.values()}
-        #: For 9, 6, 4 and 2 first bytes: the length of the longest token that begins so.
-        self.longest: list[tuple[int, dict[bytes, int]]] = [(k, {}) for k in (9, 6, 4, 2)]
-        for k, of in self.longest:
-            for b in self.ids:
-                if len(b) >= k:
-                    of[b[:k]] = max(of.get(b[:k], 0), len(b))
-        self.side_by_side: dict[int, bool] = {}
-
-    def most_from(self, data: bytes, at: int) -> int:
-        """A length that no token at this place exceeds."""
-        for k, of in self.longest:
-            if size := of.get(data[at : at + k]):
-                return min(size, len(data) - at)
-        return 1
-
-    def fits(self, a: int, b: int) -> bool:
-        """Whether a and b, side by side, are the merge result of their bytes."""
-        found = self.merged(self.token_bytes[a] + self.token_bytes[b]) == [a, b]
-        if len(self.side_by_side) >= 2 * self.most:
-            self.side_by_side.clear()
-        self.side_by_side[a << 20 | b] = found
-        return found
-
-    def matched(self, data: bytes) -> list[int]:
-        """The same as ``merged`` for a short piece, from the left: the longest next token that
-        fits its neighbour; a place from which no way leads on is left for good. Ids of which all
-        neighbours fit are the merge result, and each prefix of bytes has only one."""
-        ids, known, n = self.ids, self.side_by_side, len(data)
-        out: list[int] = []
-        ends = [0]
-        lost: set[int] = set()
-        size = self.most_from(data, 0)
-        while True:
-            at = ends[-1]
-            while size:
-                token = ids.get(data[at : at + size])
-                if token is not None and (at + size) not in lost:
-                    if not out:
-                        break
-                    fit = known.get(out[-1] << 20 | token)
-                    if fit or fit is None and self.fits(out[-1], token):
-                        break
-                size -= 1
-            if size:
-                out.append(token)
-                at += size
-                if at == n:
-                    return out
-                ends.append(at)
-                size = self.most_from(data, at)
-            else:
-                lost.add(ends.pop())
-                out.pop()
-                size = at - ends[-1] - 1
+
+    def forget(self) -> None:
+        """Give back what is remembered of pieces."""
+        self.clear()
+        self.older = {}
 
     def merged(self, data: bytes) -> list[int]:
         """All merges of one window, lowest rank first, then leftmost."""
@@ -218,7 +171,8 @@ class Transducer(dict):
         return [x for x in ids if x >= 0]
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
-        """Ids of one piece that arrives in chunks; holds a window of bytes at most (plus a chunk)."""
+        """Ids of one piece that arrives in chunks, each as soon as nothing to come can change it;
+        holds a window of bytes at most (plus a chunk)."""
         held = b""
         for chunk in chunks:
             held += chunk
@@ -236,9 +190,7 @@ class Transducer(dict):
         packed = self.older.get(piece)
         if packed is None:
             data = piece.encode("utf-8", "surrogatepass")
-            if len(data) > self.window:
-                return np.fromiter(self.stream(data[k : k + self.window] for k in range(0, len(data), self.window)), "<u4").tobytes()
-            packed = np.array(self.matched(data) if len(data) <= 64 else self.merged(data), "<u4").tobytes()
+            packed = array("I", self.stream((data,))).tobytes()
             if len(data) > 64:
                 return packed
         if len(self) >= self.most:
@@ -247,33 +199,78 @@ class Transducer(dict):
         self[piece] = packed
         return packed
 
+    def splits(self, text: str, start: int, end: int, step: int) -> Iterator[list[str] | tuple[int, int]]:
+        """The pieces of text[start:end] in lists of about ``step`` characters; a piece longer than that
+        as its place (start, end). The last pieces of a step may change with what follows and wait for it."""
+        while start < end:
+            stop = min(end, start + step)
+            chunk = text[start:stop]
+            found = (self.latin if _in_latin(chunk) else self.pieces).findall(chunk)
+            if stop < end:
+                if len(found) < 8:  # one that reaches beyond the step
+                    m = self.pieces.match(text, start, end)
+                    yield m.span()
+                    start = m.end()
+                    continue
+                del found[-4:]
+                stop = start + sum(map(len, found))
+            yield found
+            start = stop
+
+    def emitted(self, text: str, step: int = 1 << 16) -> Iterator[bytes]:
+        """The ids of a text as little-endian unsigned 32-bit integers, in blocks of bounded size."""
+        at = 0
+        for m in chain(self.split.finditer(text) if self.split else (), (None,)):
+            for part in self.splits(text, at, m.start() if m else len(text), step):
+                if isinstance(part, list):
+                    yield b"".join(map(self.__getitem__, part))
+                else:
+                    ids = self.stream(text[k : min(part[1], k + self.window)].encode("utf-8", "surrogatepass") for k in range(*part, self.window))
+                    while block := array("I", islice(ids, step)):
+                        yield block.tobytes()
+            if m:
+                yield self.special[m[0]].to_bytes(4, "little")
+                at = m.end()
+
     def packed(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        try:
-            text.encode("latin-1")
-            split = self.latin.findall
-        except UnicodeEncodeError:
-            split = self.pieces.findall
-        if not (self.split and any(s in text for s in self.special)):
-            return b"".join(map(self.__getitem__, split(text)))
-        return b"".join(
-            self.special[part].to_bytes(4, "little") if part in self.special else b"".join(map(self.__getitem__, split(part))) for part in self.split.split(text)
-        )
+        return b"".join(self.emitted(text))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()
 
     def decode(self, ids: Iterable[int], step: int = 4096) -> Iterator[str]:
-        """The text in pieces; ids outside the vocabulary add nothing."""
-        machine, ids, size = Utf8Machine(), list(ids), len(self.token_bytes)
-        if ids and (min(ids) < 0 or max(ids) >= size):
-            ids = [i for i in ids if 0 <= i < size]
-        for k in range(0, len(ids), step):
-            yield machine.feed(b"".join(map(self.token_bytes.__getitem__, ids[k : k + step])))
+        """The text in pieces as ids arrive; ids outside the vocabulary add nothing."""
+        machine, ids, size, of = Utf8Machine(), iter(ids), len(self.token_bytes), self.token_bytes.__getitem__
+        while block := list(islice(ids, step)):
+            if min(block) < 0 or max(block) >= size:
+                block = [i for i in block if 0 <= i < size]
+            yield machine.feed(b"".join(map(of, block)))
         yield machine.end()
 
-
-@lru_cache(maxsize=2)
+    def digests(self, text: str, with_ids: bool) -> tuple:
+        """(number of ids, their digest, digest of the decoded text, ids if wanted): ids are
+        hashed, counted and decoded block by block, and kept only if wanted."""
+        hashed, back, machine, n, kept = hashlib.sha256(), hashlib.sha256(), Utf8Machine(), 0, []
+        of = self.token_bytes.__getitem__
+        for block in self.emitted(text):
+            n += len(block) // 4
+            hashed.update(block)
+            back.update(machine.feed(b"".join(map(of, memoryview(block).cast("I")))).encode("utf-8"))
+            if with_ids:
+                kept.append(block)
+        back.update(machine.end().encode("utf-8"))
+        return (n, hashed.hexdigest(), back.hexdigest(), *([b"".join(kept)] if with_ids else []))
+
+
+def _in_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+@lru_cache(maxsize=1)
 def transducer(path: str) -> Transducer:
     """One per worker process and vocabulary."""
     return Transducer(path)
@@ -292,34 +289,31 @@ def encoded(path: str | None = None, with_ids: bool = False):
     Without a path, each executor uses its own copy of the installed vocabulary.
     """
 
-    def make():
-        t = transducer(path or vocabulary_path())
-
-        def one(text: str) -> tuple:
-            packed = t.packed(text)
-            ids = np.frombuffer(packed, "<u4").tolist()
-            back = hashlib.sha256()
-            for part in t.decode(ids):
-                back.update(part.encode())
-            return (len(ids), hashlib.sha256(packed).hexdigest(), back.hexdigest(), *([packed] if with_ids else []))
+    machine = lambda: transducer(path or vocabulary_path())
 
-        return one
+    def make():
+        t = machine()
+        return lambda text: t.digests(text, with_ids)
 
-    return text_udf(make, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
+    return text_udf(make, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids, lambda: machine().forget())
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id with its tokens' count and digests (and ids, little-endian unsigned 32-bit).
 
     A null or empty text has no tokens; repeated rows are encoded each; other
-    columns of docs aren't read. A text without any split takes constant memory
-    besides itself and its ids.
+    columns of docs aren't read. A text is split, encoded and decoded in steps of 65,536
+    characters, and a piece beyond that in steps of a window, so that a text of any
+    length takes constant memory besides itself (and its ids, if they are wanted). An
+    empty table gives an empty one.
     """
     return docs.select("doc_id", encoded(path, with_ids)("text").alias("t")).select("doc_id", "t.*")
 
 
 def decode_documents(tokens: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and the text of packed ids (column ``ids``); null ids give the empty text."""
+    """doc_id and the text of packed ids (column ``ids``); null ids give the empty text, ids
+    outside the vocabulary nothing; repeated rows are decoded each."""
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = transducer(path or vocabulary_path())
         for batch in batches:

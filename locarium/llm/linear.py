@@ -17,35 +17,39 @@ _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’„…¡¿–—·
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Cached(dict):
-    def __missing__(self, part: str) -> int:
-        value = self[part] = xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass"))
-        return value
+def _hash(part: str) -> int:
+    return xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass"))
 
 
 class _Words(dict):
-    """Word -> its place in ``hashes``; its user starts anew when it holds too many words.
+    """Word -> its place in ``hashes``; its user starts anew when it is ``full``.
 
     For each word as it stands between white space there are hashes of the word
     without marks at its edges, of its edge marks, and of its first ``prefix`` letters.
+    Words of more than 64 characters aren't remembered, so its size is bounded in bytes too.
     """
 
-    def __init__(self, prefix: int, most: int = 150_000):
+    def __init__(self, prefix: int, most: int = 100_000):
         self.prefix, self.most, self.wide = prefix, most, 2 + (prefix > 0)
-        self.hashes, self.parts = array("Q"), _Cached()
+        self.hashes, self.bare = array("Q"), _hash("\0m")
+
+    @property
+    def full(self) -> bool:
+        return len(self.hashes) > self.wide * self.most
 
     def __missing__(self, word: str) -> int:
         bare = word.strip(_MARKS)
-        add = self.hashes.append
-        add(xxhash.xxh64_intdigest((bare or word).encode("utf-8", "surrogatepass")))
+        add, at = self.hashes.append, len(self.hashes) // self.wide
+        add(_hash(bare or word))
         if len(bare) == len(word):
-            add(self.parts["\0m"])
+            add(self.bare)
         else:
             start = word.find(bare)
-            add(self.parts["\0m" + word[:start] + "\1" + word[start + len(bare) :][:16]])
+            add(_hash("\0m" + word[:start] + "\1" + word[start + len(bare) :][:16]))
         if self.prefix:
-            add(self.parts["\0p" + bare[: self.prefix]])
-        at = self[word] = len(self)
+            add(_hash("\0p" + bare[: self.prefix]))
+        if len(word) <= 64:
+            self[word] = at
         return at
 
 
@@ -64,12 +68,12 @@ class Features:
         tokens = text.lower().split()
         if not tokens:
             return np.empty(0, np.int32)
-        if len(self.words) > self.words.most:
+        if self.words.full:
             self.words = _Words(self.prefix)
         at = np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens))
         rows = np.frombuffer(self.words.hashes, np.uint64).reshape(-1, self.words.wide)[at]
         one = rows[:, 0]
-        equal = int(12 * np.count_nonzero(at[1:] == at[:-1]) / len(tokens))
+        equal = int(12 * np.count_nonzero((rows[1:, :2] == rows[:-1, :2]).all(1)) / len(tokens))
         pairs = (one[:-1] * np.uint64(31) + one[1:]) * _ODD
         shape = np.full(1, (equal + 1) * 0x51ED27F1, np.uint64)
         every = (np.concatenate([rows.ravel(), pairs, shape]) * _ODD >> np.uint64(64 - self.bits)).astype(np.int32)

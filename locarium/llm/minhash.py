@@ -38,10 +38,14 @@ _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _WordHashes(dict):
+    """Hash of a word; remembers up to 100,000 words of up to 64 bytes."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 100_000:
+                self.clear()
+            self[word] = value
         return value
 
 
