@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .base import Scratch, table
 from .embed_dedup import bounded_sample, codebook, dimension, matrix, usable
 
-_RESULT = "query_id long, vec_id long, score long"
+_RESULT = "row long, query_id long, vec_id long, score long"
 
 
 def _solve(rows: pd.DataFrame, width: int, k: int, exact: bool) -> pd.DataFrame:
@@ -29,51 +29,58 @@ def _solve(rows: pd.DataFrame, width: int, k: int, exact: bool) -> pd.DataFrame:
     asks = rows["asks"].to_numpy()
     data, queries = rows[~asks], rows[asks]
     if not len(data) or not len(queries):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        return pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
     data = data.sort_values("id")
     kind = np.float64 if exact else np.int64
-    y, ids = matrix(data["v"], width).astype(kind), data["id"].to_numpy()
+    y, ids, places = matrix(data["v"], width).astype(kind), data["id"].to_numpy(), data["row"].to_numpy()
     bars = queries["bar"].to_numpy(dtype=float, na_value=-np.inf)
-    x, own = matrix(queries["v"], width).astype(kind), queries["id"].to_numpy()
-    out_q, out_y, out_s = [], [], []
+    x, own, asked = matrix(queries["v"], width).astype(kind), queries["row"].to_numpy(), queries["id"].to_numpy()
+    out_n, out_y, out_s, many = [], [], [], []
     for at in range(0, len(x), 256):
         scores = x[at : at + 256] @ y.T
         for n, row in enumerate(scores, at):
-            may = np.flatnonzero((row >= bars[n]) & (ids != own[n]))
+            may = np.flatnonzero((row >= bars[n]) & (places != own[n]))
             if len(may) > k:
                 worst = np.partition(row[may], len(may) - k)[len(may) - k]
                 may = may[row[may] >= worst]
                 may = may[np.argsort(-row[may], kind="stable")][:k]
-            out_q.append(np.full(len(may), own[n]))
+            many.append(len(may))
             out_y.append(ids[may])
             out_s.append(row[may].astype(np.int64))
-    return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_y), "score": np.concatenate(out_s)}).astype("int64")
+    out_n = np.repeat(np.arange(len(x)), many)
+    return pd.DataFrame({"row": own[out_n], "query_id": asked[out_n], "vec_id": np.concatenate(out_y), "score": np.concatenate(out_s)}).astype("int64")
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, ident: str = "vec_id", column: str = "embedding", group: int = 2048, most_pivots: int = 256, sample: int = 4096, turn: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, ident: str = "vec_id", column: str = "embedding", group: int = 2048, most_pivots: int = 1024, sample: int = 16_384, block: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row that ``is_query`` picks (a condition on
     the id), the k best of all other rows by the inner product of floor(scale * x).
 
     Ties go to the smaller id; all rows, if fewer than k. Vectors that are null or hold
-    null or non-finite components take no part; shorter ones are filled with zeros. Of
-    repeated ids the smallest vector stands, and null ids take no part. Pivots are taken
-    from at most ``sample`` vectors; every row is searched. Groups are dealt to tasks in
-    blocks of about ``group`` rows and ``turn`` queries, however large they are.
+    null or non-finite components take no part; shorter ones are filled with zeros. Null ids
+    take no part. Rows of one id are rows like any others: each is a candidate of the
+    others, and each that is a query gets a list of its own. An empty table gives an empty
+    one; other columns aren't read.
+
+    Pivots, one for about ``group`` rows and ``most_pivots`` at most, are taken from at most
+    ``sample`` vectors; every row is searched. Groups are dealt to tasks in blocks of up to
+    twice ``block`` rows and as many queries, however large they are; fewer, where vectors have
+    more than 512 components. What the driver holds and sends is one row for each pivot, with
+    a list of pivots at most.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
     whole = F.transform(F.col(column), lambda x: F.floor(F.lit(scale) * x.cast("double")))
     rows = vectors.where(F.col(ident).isNotNull() & usable(column)).select(F.col(ident).cast("long").alias("id"), whole.alias("v"))
-    rows = rows.groupBy("id").agg(F.min("v").alias("v"))
     peak = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
     total, width, most = peak[0], peak[1] or 0, float(peak[2] or 0)
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     exact = width * most * most < 2.0**53  # else 64-bit integers do the sums
     small = "smallint" if most < 32_000 else "int" if most < 2e9 else "long"
-    rows = scratch.keep(rows.select("id", F.col("v").cast(f"array<{small}>").alias("v")))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", F.col("v").cast(f"array<{small}>").alias("v"))
     points = bounded_sample(rows, "id", "v", sample, width)
     pivots = codebook(points, int(min(most_pivots, max(1, total // group))), rounds=4)
+    block = max(1, min(block, (1 << 22) // width))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -82,65 +89,59 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, ident: str
             cell = d.argmin(1)
             yield pdf.assign(cell=cell.astype("int32"), away=np.linalg.norm(x - pivots[cell], axis=1))
 
-    placed = scratch.keep(rows.mapInPandas(place, f"id long, v array<{small}>, cell int, away double"))
-    asked = placed.where(is_query(F.col("id")))
+    placed = scratch.keep(rows.mapInPandas(place, f"row long, id long, v array<{small}>, cell int, away double"))
+    queries = placed.where(is_query(F.col("id")))
     # summaries: a row for each pivot, most_pivots at most
     count, radius, reach, many = (np.zeros(len(pivots)) for _ in range(4))
     for r in placed.groupBy("cell").agg(F.count("*"), F.max("away")).collect():
         count[r[0]], radius[r[0]] = r[1], r[2]
-    for r in asked.groupBy("cell").agg(F.count("*"), F.max("away")).collect():
+    for r in queries.groupBy("cell").agg(F.count("*"), F.max("away")).collect():
         many[r[0]], reach[r[0]] = r[1], r[2]
     norms, cross = np.linalg.norm(pivots, axis=1), pivots @ pivots.T
     bound = cross + reach[:, None] * norms + norms[:, None] * radius + reach[:, None] * radius
 
-    # query cells are gathered into groups of about `turn` queries; a larger one comes in turns
-    team, load = np.zeros(len(pivots), int), 0
-    for c in range(len(pivots)):
-        if c:
-            load = load + many[c]
-            team[c] = team[c - 1] + (load > turn)
-            load = many[c] if load > turn else load
-        else:
-            load = many[0]
-    teams = [np.flatnonzero(team == t) for t in range(team.max() + 1)]
-    turns = [max(1, int(np.ceil(many[c].sum() / (2 * turn)))) for c in teams]
-    blocks = np.maximum(1, np.ceil(count / (2 * group))).astype(int)
-    look = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("cell") + 1)
-
-    data = placed.select("cell", "id", "v", F.pmod(F.xxhash64("id"), look(blocks)).cast("int").alias("block"))
-    asked = asked.select("cell", "id", "v", look(team).alias("team"))
+    # query cells are gathered into teams of about `block` queries; a larger cell comes in turns
+    team, load = np.zeros(len(pivots), int), many[0]
+    for c in range(1, len(pivots)):
+        team[c] = team[c - 1] + (load + many[c] > block)
+        load = many[c] if team[c] > team[c - 1] else load + many[c]
+    turns = np.maximum(1, np.ceil(np.bincount(team, many) / (2 * block))).astype(int)
+    blocks = np.maximum(1, np.ceil(count / (2 * block))).astype(int)
+    spin = np.maximum(1, np.ceil(many / (2 * block))).astype(int)
+    cells = [(c, int(blocks[c]), int(spin[c]), int(team[c]), int(turns[team[c]])) for c in range(len(pivots))]
+    cells = F.broadcast(spark.createDataFrame(cells, "cell int, blocks int, spin int, team int, turns int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    no_bar, asks = F.lit(None).cast("double").alias("bar"), F.lit(True).alias("asks")
     solve = lambda rows: _solve(rows, width, k, exact)
-    columns = ["cell", "block", "turn", "id", "v", "bar", "asks"]
 
     # first within the own group
-    spin = np.maximum(1, np.ceil(many / (2 * turn))).astype(int)
-    no_bar = F.lit(None).cast("double").alias("bar")
-    own_data = data.withColumn("turn", F.explode(F.sequence(F.lit(0), look(spin) - 1))).select("cell", "block", "turn", "id", "v", no_bar, F.lit(False).alias("asks"))
-    own_asks = asked.withColumn("block", F.explode(F.sequence(F.lit(0), look(blocks) - 1))).select("cell", "block", F.pmod(F.xxhash64("id"), look(spin)).cast("int").alias("turn"), "id", "v", no_bar, F.lit(True).alias("asks"))
-    near = scratch.keep(own_data.unionByName(own_asks).select(columns).groupBy("cell", "block", "turn").applyInPandas(solve, _RESULT))
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    bars = near.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("bar"))
-    asked = scratch.keep(asked.join(bars, "id", "left"))
+    data = placed.join(cells, "cell").select("cell", "row", "id", "v", "spin", dealt("blocks").alias("block"))
+    own_data = data.select("cell", "block", each("spin").alias("turn"), "row", "id", "v", no_bar, F.lit(False).alias("asks"))
+    queries = queries.join(cells, "cell").select("cell", "row", "id", "v", "blocks", "spin", "team", dealt("turns").alias("turn"))
+    own_asks = queries.select("cell", each("blocks").alias("block"), dealt("spin").alias("turn"), "row", "id", "v", no_bar, asks)
+    near = scratch.keep(own_data.unionByName(own_asks).groupBy("cell", "block", "turn").applyInPandas(solve, _RESULT))
+    rank = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    bars = near.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") == k).select("row", F.col("score").cast("double").alias("bar"))
+    queries = scratch.keep(queries.select("cell", "row", "id", "v", "team", "turn").join(bars, "row", "left"))
 
     # a query group needs the data groups whose bound reaches the lowest bar of one of its cells
     low = np.full(len(pivots), np.inf)
-    for r in asked.groupBy("cell").agg(F.min(F.coalesce("bar", F.lit(float("-inf"))))).collect():
+    for r in queries.groupBy("cell").agg(F.min(F.coalesce("bar", F.lit(float("-inf"))))).collect():
         low[r[0]] = r[1]
     needed = (bound + 1e-6 * (1 + np.abs(bound)) >= low[:, None]) & (many[:, None] > 0)
     np.fill_diagonal(needed, False)
-    visits = [np.flatnonzero(needed[:, h]) for h in range(len(pivots))]
-    # a block of data goes once to a team (and turn), with the query cells there that need it
-    to_teams = [sorted({int(team[c]) for c in v}) for v in visits]
-    pairs = [(h, t, s) for h in range(len(pivots)) for t in to_teams[h] for s in range(turns[t])]
-    if not pairs:
-        best = near
-    else:
-        spots = F.broadcast(spark.createDataFrame(pairs, "cell int, team int, turn int"))  # bounded by most_pivots
-        sent = data.join(spots, "cell").select(F.col("cell").alias("home"), "block", "team", "turn", "id", "v", no_bar, F.lit(False).alias("asks"))
-        routes = [(int(c), int(h), int(b)) for h in range(len(pivots)) for c in visits[h] for b in range(blocks[h])]
-        routes = F.broadcast(spark.createDataFrame(routes, "cell int, home int, block int"))
-        turn_of = F.pmod(F.xxhash64("id"), F.element_at(F.array(*[F.lit(int(t)) for t in turns]), F.col("team") + 1)).cast("int").alias("turn")
-        come = asked.join(routes, "cell").select("home", "block", "team", turn_of, "id", "v", "bar", F.lit(True).alias("asks"))
+    best = near
+    if needed.any():
+        # a block of data goes once to a team (and each of its turns), with the query cells there that need it
+        to = [(h, [(int(t), int(turns[t])) for t in np.unique(team[needed[:, h]])]) for h in range(len(pivots)) if needed[:, h].any()]
+        to = F.broadcast(spark.createDataFrame(to, "cell int, teams array<struct<team int, turns int>>"))
+        sent = data.join(to, "cell").select("cell", "block", "row", "id", "v", F.explode("teams").alias("t")).select("cell", "block", "t.*", "row", "id", "v")
+        sent = sent.select(F.col("cell").alias("home"), "block", "team", each("turns").alias("turn"), "row", "id", "v", no_bar, F.lit(False).alias("asks"))
+        come = [(c, [(int(h), int(blocks[h])) for h in np.flatnonzero(needed[c])]) for c in range(len(pivots)) if needed[c].any()]
+        come = F.broadcast(spark.createDataFrame(come, "cell int, homes array<struct<home int, blocks int>>"))
+        come = queries.join(come, "cell").select(F.explode("homes").alias("h"), "team", "turn", "row", "id", "v", "bar").select("h.*", "team", "turn", "row", "id", "v", "bar")
+        come = come.select("home", each("blocks").alias("block"), "team", "turn", "row", "id", "v", "bar", asks)
         far = sent.unionByName(come).groupBy("home", "block", "team", "turn").applyInPandas(solve, _RESULT)
         best = near.unionByName(far)
     best = best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
