@@ -184,6 +184,53 @@ def test_wrapped_licenses(text, want):
     assert [x[0] for x in s.licenses(f"Some prose here\n\n{text}\n\nReleased under the MIT license\nmore prose")] == [want, "MIT"]
 
 
+INSTALLED = [
+    ("attrs", "MIT"), ("duckdb", "MIT"), ("pytest", "MIT"), ("pyyaml", "MIT"), ("urllib3", "MIT"), ("pip", "MIT"), ("py4j", "BSD-3-Clause"), ("psutil", "BSD-3-Clause"),
+    ("numpy", "BSD-3-Clause"), ("zstandard", "BSD-3-Clause"), ("xxhash", "BSD-2-Clause"), ("requests", "Apache-2.0"), ("sortedcontainers", "Apache-2.0"), ("certifi", "MPL-2.0"), ("hypothesis", "MPL-2.0"),
+]
+
+
+@pytest.mark.parametrize("package, want", INSTALLED)
+def test_license_files_of_installed_packages(package, want):
+    """Texts that the rules weren't written from."""
+    from importlib import metadata
+
+    try:
+        files = [f for f in metadata.files(package) or () if f.name.upper().startswith("LICENSE") and f.suffix in ("", ".txt", ".md")]
+    except metadata.PackageNotFoundError:
+        files = []
+    if not files:
+        pytest.skip("not installed with its license")
+    found = [x[0] for f in files for x in license_scan.LicenseScanner().licenses(f.read_text(encoding="utf-8"))]
+    assert want in found
+
+
+def test_distant_sentences_and_expressions():
+    s = license_scan.LicenseScanner()
+    first, second = "Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License."
+    far = f"{first}\n\n{'Prose stands here. ' * 700}\n\n{second}"
+    assert s.licenses(far) == [("Apache-2.0", 0, len(first)), ("unknown", len(far) - len(second), len(far))]
+    near = f"{first}\n\nProse stands here.\n\n{second}"
+    assert s.licenses(near) == [("Apache-2.0", 0, len(near))]
+    name = lambda t: [x[0] for x in s.licenses(t)]
+    assert name("// SPDX-License-Identifier: Apache-2.0 OR MIT") == ["SPDX:apache-2.0 OR mit"]
+    assert name("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */") == ["SPDX:gpl-2.0-only WITH linux-syscall-note"]
+    assert name("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.") == ["LGPL-2.1+"]
+
+
+def test_sentence_map_against_brute_force():
+    """Every spelling of every sentence with its slots filled gives its identifier, and nothing else does."""
+    fill = {"<version>": "2.0", "<word>": "work", "<name>": "the holder", "<expression>": "mit or isc", "<rest>": "and so on"}
+    m = license_scan.SentenceMap(license_scan.SENTENCES)
+    for name, templates in license_scan.SENTENCES.items():
+        for words in (w for t in templates for w in license_scan.spelled(t)):
+            kinds = license_scan.KINDS.get(name, ("",))
+            plain = " ".join(fill.get(w, kinds[0] if w == "<kind>" else w) for w in words).split()
+            found = m.find(plain, 0, {len(plain)}, len(plain))
+            assert found and found[:2] == (len(plain), name), plain
+            assert len(set(plain)) < 4 or m.find(plain[::-1], 0, {len(plain)}, len(plain)) is None
+
+
 def test_one_line_notices_among_lines():
     s = license_scan.LicenseScanner()
     text = "a line of prose\nReleased under the MIT License\nanother line\nLicensed under the GNU General Public License\nversion 2\nCopyright 2020 A\nAll rights reserved\nlast"
