@@ -28,13 +28,18 @@ def normalized(rows: DataFrame, rules: list[tuple[str, Callable[[Column], Column
     return rows
 
 
-def lead_title(x, titles: dict[str, str]) -> Column:
-    """NULL without a lead, blank for the standard title, else the title that a pattern finds (S-8)."""
-    v = F.col(x) if isinstance(x, str) else x
-    out = F.when(F.coalesce(F.trim(v), F.lit("")) == "", F.lit(None).cast("string"))
-    for pattern, title in titles.items():
-        out = out.when(v.rlike(pattern), F.lit(title))
-    return out.otherwise(F.lit(""))
+def lead_title(role, name, roles: dict[str, str], usual: str, flagged: str, usual_flagged: str) -> Column:
+    """The title that a role after a name implies (S-8): NULL without a known role, blank for the usual one
+    (another where the record's name matches ``flagged``), else the title, after ``Interim`` if it says so.
+
+    ``roles``: pattern -> title.
+    """
+    out = F.lit(None).cast("string")
+    for pattern, title in roles.items():
+        said = F.when(role.rlike(rf"(?i)^interim\s+(?:{pattern})$"), F.lit(f"Interim {title}")).when(role.rlike(rf"(?i)^(?:{pattern})$"), F.lit(title))
+        out = F.coalesce(out, said)
+    plain = F.when(F.coalesce(name.rlike(rf"(?i)\b(?:{flagged})\b"), F.lit(False)), F.lit(usual_flagged)).otherwise(F.lit(usual))
+    return F.when(out == plain, F.lit("")).otherwise(out)
 
 
 def same_coordinates(places: DataFrame, per: list[str]) -> DataFrame:

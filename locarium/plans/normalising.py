@@ -9,42 +9,49 @@ from locarium.operators import normalize as N
 
 from .registry import load, places, places_sql, query
 
-#: Phone spellings derived from the key.
-_PHONES = """(SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN '1-' || a || '-' || b || '-' || c WHEN 1 THEN '(' || a || ') ' || b || '-' || c WHEN 2 THEN a || '.' || b || '.' || c || ' x12' WHEN 3 THEN 'call ' || a || b || c || ' or +1 ' || a || ' ' || b || ' ' || c
-  WHEN 4 THEN 'N/A - ' || a || '-' || b || '-' || c WHEN 5 THEN 'none' WHEN 6 THEN a || '-555-' || c ELSE a || b || c END AS phone FROM (SELECT c_custkey, CAST(200 + c_custkey * 7 % 800 AS VARCHAR) AS a, CAST(200 + c_custkey * 13 % 350 AS VARCHAR) AS b, lpad(CAST(c_custkey * 17 % 10000 AS VARCHAR), 4, '0') AS c FROM customer))"""
+#: Phone spellings derived from the key: area a (any three digits), exchange b, line c; d is all ten, f their house style.
+_PHONES = """(SELECT *, CASE m WHEN 0 THEN '1-' || a || '-' || b || '-' || c WHEN 1 THEN '(' || a || ') ' || b || '-' || c WHEN 2 THEN a || '.' || b || '.' || c || ' x12' WHEN 3 THEN 'call ' || d || ' or +1 ' || a || ' ' || b || ' ' || c
+  WHEN 4 THEN 'N/A - ' || a || '-' || b || '-' || c WHEN 5 THEN 'none' WHEN 6 THEN a || '-555-' || c WHEN 7 THEN a || '/' || b || '/' || c || ' extension 7' WHEN 8 THEN a || '-' || b || '-' || c || ' / ' || a || '.' || b || '.' || c
+  WHEN 9 THEN 'n/a ' || a || ' ' || b || ' ' || c || '.' WHEN 10 THEN 'x' || d WHEN 11 THEN d END AS phone
+  FROM (SELECT *, a || b || c AS d, '(' || a || ') ' || b || '-' || c AS f FROM (SELECT c_custkey AS id, c_custkey % 13 AS m, CAST(100 + c_custkey * 7 % 900 AS VARCHAR) AS a, CAST(200 + c_custkey * 13 % 350 AS VARCHAR) AS b, lpad(CAST(c_custkey * 17 % 10000 AS VARCHAR), 4, '0') AS c FROM customer)))"""
+_TIDY = "CASE m WHEN 2 THEN f || ' ext. 12' WHEN 3 THEN 'call ' || f || ' or ' || f WHEN 6 THEN '(' || a || ') 555-' || c WHEN 7 THEN f || ' ext. 7' WHEN 8 THEN f || ' / ' || f WHEN 9 THEN 'n/a ' || f WHEN 5 THEN 'none' WHEN 10 THEN phone WHEN 12 THEN NULL WHEN 4 THEN {na} ELSE f END"
+_FORMAT = _TIDY.replace("{na}", "phone")
 
 
 def _phones(spark, sf_dir):
     k = F.col("c_custkey")
-    rows = load(spark, sf_dir, "customer").select(k, (F.lit(200) + k * 7 % 800).cast("string").alias("a"), (F.lit(200) + k * 13 % 350).cast("string").alias("b"), F.lpad((k * 17 % 10000).cast("string"), 4, "0").alias("c"))
-    say = lambda f: F.concat(*[F.col(x) if x in "abc" else F.lit(x) for x in f])
-    m = k % 8
-    phone = F.when(m == 0, say(["1-", "a", "-", "b", "-", "c"])).when(m == 1, say(["(", "a", ") ", "b", "-", "c"])).when(m == 2, say(["a", ".", "b", ".", "c", " x12"])).when(m == 3, say(["call ", "a", "b", "c", " or +1 ", "a", " ", "b", " ", "c"]))
-    phone = phone.when(m == 4, say(["N/A - ", "a", "-", "b", "-", "c"])).when(m == 5, F.lit("none")).when(m == 6, say(["a", "-555-", "c"])).otherwise(say(["a", "b", "c"]))
+    rows = load(spark, sf_dir, "customer").select(k, (F.lit(100) + k * 7 % 900).cast("string").alias("a"), (F.lit(200) + k * 13 % 350).cast("string").alias("b"), F.lpad((k * 17 % 10000).cast("string"), 4, "0").alias("c"))
+    say = lambda *f: F.concat(*[F.col(x) if x in ("a", "b", "c") else F.lit(x) for x in f])
+    spellings = [
+        ("1-", "a", "-", "b", "-", "c"), ("(", "a", ") ", "b", "-", "c"), ("a", ".", "b", ".", "c", " x12"), ("call ", "a", "b", "c", " or +1 ", "a", " ", "b", " ", "c"), ("N/A - ", "a", "-", "b", "-", "c"), ("none",), ("a", "-555-", "c"),
+        ("a", "/", "b", "/", "c", " extension 7"), ("a", "-", "b", "-", "c", " / ", "a", ".", "b", ".", "c"), ("n/a ", "a", " ", "b", " ", "c", "."), ("x", "a", "b", "c"), ("a", "b", "c"),
+    ]
+    phone = F.lit(None).cast("string")
+    for m, spelling in enumerate(spellings):
+        phone = F.when(k % 13 == m, say(*spelling)).otherwise(phone)
     return rows.select(k.alias("id"), phone.alias("phone"))
 
 
-_ONE = r"(^|[^0-9])(?:\+?1[-. ]?)?\(?([2-9][0-9]{2})\)?[-. ]*([0-9]{3})[-. ]*([0-9]{4})"
-_FORMAT = rf"CASE WHEN regexp_matches(phone, '^\s*(?i:n/a)\b') THEN phone ELSE regexp_replace(regexp_replace(phone, '{_ONE}[ ,]*(?:ext\.?|x)[ ]*([0-9]+)', '\1(\2) \3-\4 ext. \5', 'g'), '{_ONE}\b', '\1(\2) \3-\4', 'g') END"
-
-
 @query(f"SELECT id, {_FORMAT} AS phone FROM {_PHONES}")
 def format_phones(spark, sf_dir):
-    """S-1 S-2: one spelling for all numbers in a text."""
+    """S-1: one spelling for all numbers in a text, those that begin with N/A as they are."""
     return _phones(spark, sf_dir).select("id", T.format_phones("phone").alias("phone"))
 
 
-_DIGITS = r"""regexp_replace(phone, '[^0-9]', '', 'g')"""
+@query("SELECT id, " + _TIDY.replace("{na}", "'N/A - ' || f") + f" AS phone FROM {_PHONES}")
+def shown_phones(spark, sf_dir):
+    """S-2: the spelling in which numbers are shown, N/A or not."""
+    return _phones(spark, sf_dir).select("id", T.shown_phones("phone").alias("phone"))
 
 
-@query(rf"""WITH d AS (SELECT id, phone, list_transform(regexp_extract_all(phone, '\(?[2-9][0-9]{{2}}\)?[-. ]+[0-9]{{3}}[-. ]+[0-9]{{4}}\b'), lambda p: regexp_replace(p, '[^0-9]', '', 'g')) AS f FROM {_PHONES})
-SELECT id, list_filter(CASE WHEN len(f) > 0 THEN f WHEN len({_DIGITS}) = 10 THEN [{_DIGITS}] WHEN regexp_matches({_DIGITS}, '^1[0-9]{{10}}$') THEN [substr({_DIGITS}, 2)] ELSE [] END, lambda x: substr(x, 4, 3) <> '555') AS digits FROM d""")
+@query(f"""SELECT id, list_filter(CASE WHEN m IN (5, 6, 12) THEN [] WHEN m = 7 THEN CASE WHEN a < '200' AND substr(a, 2, 1) >= '2' THEN [substr(a, 2) || b || c || '7'] ELSE [] END
+  WHEN a < '200' THEN [] WHEN m = 8 THEN [d, d] ELSE [d] END, lambda x: substr(x, 4, 3) <> '555') AS digits FROM {_PHONES}""")
 def phone_digits(spark, sf_dir):
-    """S-4: ten digits of each number, without the reserved exchange."""
+    """S-4: ten digits of each number in running text, without the reserved exchange."""
     return _phones(spark, sf_dir).select("id", T.phone_digits("phone").alias("digits"))
 
 
-@query(rf"SELECT id, CAST(len(regexp_extract_all(phone, '{_ONE}\b')) AS INTEGER) AS numbers FROM {_PHONES} WHERE trim(phone) <> '' AND len(regexp_extract_all(phone, '{_ONE}\b')) <> 1")
+@query(f"SELECT id, CAST(CASE WHEN m IN (3, 8) THEN 2 ELSE 0 END AS INTEGER) AS numbers FROM {_PHONES} WHERE m IN (3, 5, 8, 10)")
 def phone_review(spark, sf_dir):
     """S-3 F26 D14: texts with no readable number, or with several."""
     rows = _phones(spark, sf_dir).withColumn("numbers", T.phone_count("phone"))
@@ -67,39 +74,51 @@ def folded_sort(spark, sf_dir):
     return rows.withColumn("k", T.fold("name")).orderBy("k", "id").drop("k")
 
 
-_NAMES = "(SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN 'Dr Ann ' || s_name || ' (Dean)' WHEN 1 THEN 'Bo ' || s_name || ', Jr., Lead' WHEN 2 THEN 'doctor Cy iii' WHEN 3 THEN 'Di ' || s_name || ', Chair' WHEN 4 THEN s_name || ' ii' ELSE '' END AS v FROM supplier)"
+#: Names with titles, roles, generations and degrees derived from the key.
+_NAMES = """(SELECT s_suppkey AS id, s_suppkey % 9 AS m, s_name AS n, s_suppkey % 2 = 0 AS hall FROM supplier)"""
+_RAW_NAME = "CASE m WHEN 0 THEN 'Professor Ann ' || n || ' (Dean)' WHEN 1 THEN 'the Prof Bo ' || n || ', Jr., Lead' WHEN 2 THEN 'doctor Cy ' || n || ', Iii' WHEN 3 THEN 'Di ' || n || ', Chair, Board' WHEN 4 THEN 'Ed ' || n || ' Ii' WHEN 5 THEN 'Flo ' || n || ', Ph. D., Interim Chair' WHEN 6 THEN 'N/A (none)' WHEN 7 THEN 'Gus ' || n || ', chair' ELSE '' END"
+_TITLES = [(r"(?i)\bprof(?:essor)?\b\.?", "Prof."), (r"(?i)\b(?:doctor|dr)\b\.?", "Dr.")]
+_ARTICLE = r"Prof\."
 
 
 def _names(spark, sf_dir):
-    k, n = F.col("s_suppkey"), F.col("s_name")
-    m = k % 6
-    v = F.when(m == 0, F.concat(F.lit("Dr Ann "), n, F.lit(" (Dean)"))).when(m == 1, F.concat(F.lit("Bo "), n, F.lit(", Jr., Lead"))).when(m == 2, "doctor Cy iii").when(m == 3, F.concat(F.lit("Di "), n, F.lit(", Chair"))).when(m == 4, F.concat(n, F.lit(" ii"))).otherwise("")
-    return load(spark, sf_dir, "supplier").select(k.alias("id"), v.alias("v"))
-
-
-_TITLES = [(r"(?i)^(doctor|dr)\.? ", "Dr. ")]
-_TITLED = r"regexp_replace(v, '(?i)^(doctor|dr)\.? ', 'Dr. ')"
+    n = F.col("s_name")
+    forms = [
+        F.concat(F.lit("Professor Ann "), n, F.lit(" (Dean)")), F.concat(F.lit("the Prof Bo "), n, F.lit(", Jr., Lead")), F.concat(F.lit("doctor Cy "), n, F.lit(", Iii")), F.concat(F.lit("Di "), n, F.lit(", Chair, Board")),
+        F.concat(F.lit("Ed "), n, F.lit(" Ii")), F.concat(F.lit("Flo "), n, F.lit(", Ph. D., Interim Chair")), F.lit("N/A (none)"), F.concat(F.lit("Gus "), n, F.lit(", chair")), F.lit(""),
+    ]
+    k = F.col("s_suppkey")
+    return load(spark, sf_dir, "supplier").select(k.alias("id"), F.element_at(F.array(*forms), (k % 9 + 1).cast("int")).alias("v"), F.when(k % 2 == 0, "Old Hall").otherwise("Old House").alias("name"))
 
 
-@query(rf"""WITH t AS (SELECT id, trim({_TITLED}) AS s FROM {_NAMES}), k AS (SELECT id, s, regexp_matches(s, '^.+\([^()]+\)$') AS p, regexp_replace(s, ',\s*(Jr|Sr|II|III|IV)\.?', ' \1', 'g') AS k FROM t),
-r AS (SELECT id, CASE WHEN p THEN trim(regexp_replace(s, '\([^()]+\)$', '')) ELSE trim(string_split(k, ',')[1]) END AS name, CASE WHEN p THEN regexp_extract(s, '\(([^()]+)\)$', 1) WHEN contains(k, ',') THEN trim(regexp_replace(k, '^[^,]*,\s*', '')) ELSE '' END AS role FROM k)
-SELECT id, regexp_replace(regexp_replace(regexp_replace(name, '(?i)\bII$', 'II'), '(?i)\bIII$', 'III'), '(?i)\bIV$', 'IV') AS name, role FROM r""")
+@query(f"""SELECT id, CASE m WHEN 0 THEN 'Prof. Ann ' || n WHEN 1 THEN 'the Prof. Bo ' || n || ', Jr.' WHEN 2 THEN 'Dr. Cy ' || n || ', III' WHEN 3 THEN 'Di ' || n WHEN 4 THEN 'Ed ' || n || ' II' WHEN 5 THEN 'Flo ' || n || ', PhD' WHEN 6 THEN 'N/A' WHEN 7 THEN 'Gus ' || n ELSE '' END AS name,
+  CASE m WHEN 0 THEN 'Dean' WHEN 1 THEN 'Lead' WHEN 3 THEN 'Chair, Board' WHEN 5 THEN 'Interim Chair' WHEN 6 THEN 'none' WHEN 7 THEN 'chair' ELSE '' END AS role FROM {_NAMES}""")
 def names_titles_roles(spark, sf_dir):
-    """S-5 S-6 S-9: respelled titles, roles split off, numerals in capitals."""
+    """S-5 S-6 S-9: respelled titles, roles split off, numerals and degrees in one spelling."""
     rows = _names(spark, sf_dir).withColumn("r", T.split_role(T.respelled("v", _TITLES)))
-    return rows.select("id", T.roman_suffix("r.name").alias("name"), F.col("r.role").alias("role"))
+    return rows.select("id", T.name_case("r.name").alias("name"), F.col("r.role").alias("role"))
 
 
-@query(f"SELECT id, CASE WHEN v = '' THEN NULL WHEN regexp_matches(v, '(?i)^(doctor|dr)\\.? ') THEN 'Dr.' ELSE '' END AS title FROM {_NAMES}")
-def lead_title_tristate(spark, sf_dir):
-    """S-8: no lead (NULL), the standard title (blank), or another one."""
-    return _names(spark, sf_dir).select("id", N.lead_title("v", {r"(?i)^(doctor|dr)\.? ": "Dr."}).alias("title"))
+_PERSON = "CASE m WHEN 0 THEN 'The Prof. Ann ' || n WHEN 1 THEN 'The Prof. Bo ' || n || ', Jr.' WHEN 2 THEN 'Dr. Cy ' || n || ', III' WHEN 3 THEN 'Di ' || n WHEN 4 THEN 'Ed ' || n || ' II' WHEN 5 THEN 'Flo ' || n || ', PhD' WHEN 6 THEN 'N/A (none)' WHEN 7 THEN 'Gus ' || n ELSE '' END"
+
+
+@query(f"SELECT id, {_PERSON} AS name FROM {_NAMES}")
+def person_formatted(spark, sf_dir):
+    """S-7: one person with title and article, without role."""
+    return _names(spark, sf_dir).select("id", T.name_case(T.format_person("v", _ARTICLE, _TITLES)).alias("name"))
 
 
-@query("SELECT id, array_to_string(list_transform(list_filter(list_transform(string_split(v || '; ;Ed', ';'), lambda x: trim(x)), lambda x: x <> ''), lambda x: upper(x)), '; ') AS items FROM " + _NAMES)
+@query(f"SELECT id, CASE m WHEN 6 THEN 'N/A (none); ;Ed X, Aide' WHEN 8 THEN 'Ed X (Aide)' ELSE {_PERSON} || CASE m WHEN 0 THEN ' (Dean)' WHEN 1 THEN ' (Lead)' WHEN 3 THEN ' (Chair, Board)' WHEN 5 THEN ' (Interim Chair)' WHEN 7 THEN ' (chair)' ELSE '' END || '; Ed X (Aide)' END AS items FROM {_NAMES}")
 def list_formatted(spark, sf_dir):
-    """S-7 X1: items of a list, each in its own form."""
-    return _names(spark, sf_dir).select("id", T.formatted_list(F.concat("v", F.lit("; ;Ed")), F.upper).alias("items"))
+    """S-7 X1: people of a list, each with the role in parentheses."""
+    return _names(spark, sf_dir).select("id", T.name_case(T.format_people(F.concat("v", F.lit("; ;Ed X, Aide")), _ARTICLE, _TITLES)).alias("items"))
+
+
+@query(f"SELECT id, CASE WHEN m = 0 THEN CASE WHEN hall THEN '' ELSE 'Dean' END WHEN m = 5 THEN 'Interim Chair' WHEN m = 7 THEN CASE WHEN hall THEN 'Chair' ELSE '' END END AS title FROM {_NAMES}")
+def lead_title_tristate(spark, sf_dir):
+    """S-8: no role to go by (NULL), the usual title (blank), or another one; flagged names have another usual one."""
+    role = T.split_role(T.respelled("v", _TITLES))["role"]
+    return _names(spark, sf_dir).select("id", N.lead_title(role, F.col("name"), {"chair": "Chair", "dean": "Dean"}, "Chair", "Hall", "Dean").alias("title"))
 
 
 @query(r"SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), lambda e: lower(e)))) AS email FROM documents")
@@ -108,15 +127,18 @@ def emails_extracted(spark, sf_dir):
     return N.emails(load(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query(r"SELECT p_partkey, 'Mon–Fri 9–10:30 ' || p_name AS prose, '\"it''s\" ' || p_name AS quotes, 'mail ' || lower('Info@' || p_brand || '.ORG') || ' now' AS mail FROM (SELECT p_partkey, p_name, regexp_replace(p_brand, '#', '') AS p_brand FROM part)".replace('\\"', '"'))
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Mon-Fri 9:15-11:45 AM ' WHEN 1 THEN '11:00 AM Hymns, Sept-May, ' WHEN 2 THEN 'Sun 8 AM-9 PM; Jun-Aug 555-1234 ' ELSE 'well-known pp. 3 - 4 ' END || p_name AS prose,
+  '"it''s" ' || p_name AS quotes, 'mail ' || lower('Info@' || p_brand || '.ORG') || ' now' AS mail FROM (SELECT p_partkey, p_name, regexp_replace(p_brand, '#', '') AS p_brand FROM part)""")
 def prose_normalised(spark, sf_dir):
     """S-10: ranges, quotes and addresses in prose."""
     rows = load(spark, sf_dir, "part")
     mail = F.concat(F.lit("mail Info@"), F.regexp_replace("p_brand", "#", ""), F.lit(".ORG now"))
-    return rows.select("p_partkey", T.prose_ranges(F.concat(F.lit("Mon - Fri 9 - 10:30 "), "p_name")).alias("prose"), T.straight_quotes(F.concat(F.lit("“it’s” "), "p_name")).alias("quotes"), T.lower_emails(mail).alias("mail"))
+    texts = ["Mon – Fri 9:15–11:45 AM ", "11:00 AM — Hymns, Sept - May, ", "Sun 8 AM – 9 PM; Jun. — Aug 555-1234 ", "well-known pp. 3 - 4 "]
+    prose = F.concat(F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % 4 + 1).cast("int")), "p_name")
+    return rows.select("p_partkey", T.prose_ranges(prose).alias("prose"), T.straight_quotes(F.concat(F.lit("“it’s” "), "p_name")).alias("quotes"), T.lower_emails(mail).alias("mail"))
 
 
-@query(f"SELECT id, 'phone' AS field, phone AS old, {_FORMAT} AS new FROM {_PHONES} WHERE phone <> {_FORMAT} UNION ALL SELECT id, 'link', 'http://x' || id || '.org/', 'http://x' || id || '.org' FROM {_PHONES}")
+@query(f"SELECT id, 'phone' AS field, phone AS old, {_FORMAT} AS new FROM {_PHONES} WHERE phone IS NOT NULL AND phone <> {_FORMAT} UNION ALL SELECT id, 'link', 'http://x' || id || '.org/', 'http://x' || id || '.org' FROM {_PHONES}")
 def normalise_changelog(spark, sf_dir):
     """Field, old and new for each value that a rule changes."""
     rows = _phones(spark, sf_dir).withColumn("link", F.concat(F.lit("http://x"), F.col("id").cast("string"), F.lit(".org/")))
@@ -153,7 +175,7 @@ def address_parts(spark, sf_dir):
 
 @query(r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:\s]+)', 1)), '^www\.', '') AS domain,
   regexp_replace(regexp_replace(url, '^https?://(www\.)?', ''), '/$', '') AS short,
-  lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^https?://(www\.)?', ''), '/$', ''), '[?#].*$', ''), '/(videos|live|streams|featured)?/?$', '')) AS channel FROM pages""")
+  lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^https?://(www\.)?', ''), '[?#].*$', ''), '/+$', ''), '(?i)/(live|streams|featured|videos|home)$', '')) AS channel FROM pages""")
 def url_parts(spark, sf_dir):
     """S-23 S-24 S-25: domain, short form and channel key."""
     return load(spark, sf_dir, "pages").select("page_id", T.domain("url").alias("domain"), T.short_url("url").alias("short"), T.channel_key("url").alias("channel"))
@@ -188,21 +210,18 @@ def csv_guard(spark, sf_dir):
     return load(spark, sf_dir, "supplier").select("s_suppkey", T.csv_guard(cell).alias("cell"))
 
 
-_A = "s_suppkey || ' North Main Street'"
-
-
-@query("""SELECT s_suppkey, s_suppkey % 5 IN (0, 1) AS match FROM supplier""")
+@query("SELECT s_suppkey, s_suppkey % 7 IN (0, 1, 3, 5) AS match FROM supplier")
 def address_match(spark, sf_dir):
-    """S-16 U5 J14: same number, and one's words among the other's."""
-    k = F.col("s_suppkey")
-    s = k.cast("string")
-    b = F.when(k % 5 == 0, F.concat(s, F.lit(" Main Street"))).when(k % 5 == 1, F.concat(s, F.lit(" NORTH main street, suite 4"))).when(k % 5 == 2, F.concat((k + 1).cast("string"), F.lit(" North Main Street"))).when(k % 5 == 3, F.concat(s, F.lit(" South Main Street"))).otherwise(F.lit("PO Box"))
+    """S-16 U5 J14: same number, and one street's words among the other's."""
+    s = F.col("s_suppkey").cast("string")
+    others = [F.concat(s, F.lit(" Main Street")), F.concat(s, F.lit(" NORTH main St., suite 4")), F.concat((F.col("s_suppkey") + 1).cast("string"), F.lit(" North Main Street")), F.concat(s, F.lit(" S. Main Ave")), F.lit("PO Box"), F.concat(s, F.lit(" Old Main Road, Waco, TX")), F.concat(s, F.lit(" North Street"))]
+    b = F.element_at(F.array(*others), (F.col("s_suppkey") % 7 + 1).cast("int"))
     return load(spark, sf_dir, "supplier").select("s_suppkey", T.addresses_match(F.concat(s, F.lit(" North Main Street")), b).alias("match"))
 
 
-@query("SELECT s_suppkey, s_suppkey % 5 IN (0, 1, 2) AS match FROM supplier")
+@query("SELECT s_suppkey, s_suppkey % 9 IN (0, 1, 2, 4, 5, 7) AS match FROM supplier")
 def person_match(spark, sf_dir):
-    """S-17: surnames, hyphenated parts, initials."""
-    k = F.col("s_suppkey") % 5
-    b = F.when(k == 0, "Jane Doe").when(k == 1, "J. Smith-Doe").when(k == 2, "jan DOE").when(k == 3, "John Doe").otherwise("Doe")
+    """S-17: surnames, hyphenated parts, initials, honorifics, endings."""
+    others = ["Jane Doe", "J. Smith-Doe", "jan DOE", "John Doe", "Doe", "Dr. Jane Roe-Doe, Lead", "Jane Smith", "The Quentin Doe Jr.", ""]
+    b = F.element_at(F.array(*map(F.lit, others)), (F.col("s_suppkey") % 9 + 1).cast("int"))
     return load(spark, sf_dir, "supplier").select("s_suppkey", T.same_person(F.lit("Jane Q Doe"), b).alias("match"))
