@@ -9,10 +9,11 @@ from locarium.functions.predicates import merge_blank, required_missing
 
 
 def validated(rows: DataFrame, required: list[str], numbers: list[str], flags_ok: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``errors``: what is wrong with each record (F11). ``numbers`` hold text as read, or null."""
+    """Add ``errors``: what is wrong with each record (F11). ``numbers`` hold JSON as read (so that the text
+    ``"12"`` isn't the number 12), or null; those in ``flags_ok`` may be true or false."""
     bad = [F.when(required_missing(c), F.lit(f"missing {c}")) for c in required]
     for c in numbers:
-        ok = F.col(c).rlike(r"^[-+]?[0-9]+(\.[0-9]+)?$") | (F.col(c).isin("true", "false") if c in flags_ok else F.lit(False))
+        ok = F.col(c).rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$") | (F.col(c).isin("true", "false") if c in flags_ok else F.lit(False))
         bad.append(F.when(F.col(c).isNotNull() & ~ok, F.lit(f"{c} is not a number")))
     return rows.withColumn("errors", F.array_compact(F.array(*bad)))
 
@@ -76,27 +77,38 @@ def duplicate_ids(rows: DataFrame) -> DataFrame:
 
 
 def apply_changes(rows: DataFrame, changes: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Set a field only where it still is what the change expects (M7): (rows, changes that failed)."""
-    stacked = rows.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("now")) for f in fields])).alias("c")).select("id", "c.*")
-    checked = changes.join(stacked, ["id", "field"], "left").withColumn("ok", F.col("now").eqNullSafe(F.col("current_value")) & F.col("now").isNotNull())
-    good = checked.where("ok").groupBy("id").agg(*[F.max(F.when(F.col("field") == f, F.col("new_value"))).alias(f"_{f}") for f in fields])
-    out = rows.join(good, "id", "left").select("id", *[F.coalesce(f"_{f}", f).alias(f) for f in fields])
-    return out, checked.where("not ok").select("id", "field", "current_value", "new_value", "now")
+    """Set a field only where it still is what the change expects (M7): (rows, changes that failed).
+
+    A change that expects null adds a value where there is none. Changes of unknown records or
+    fields fail, with ``found`` false; of several changes that hold, the largest new value counts.
+    """
+    stacked = rows.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("now")) for f in fields])).alias("c")).select("id", "c.*", F.lit(True).alias("found"))
+    checked = changes.join(stacked, ["id", "field"], "left").withColumn("found", F.coalesce("found", F.lit(False))).withColumn("ok", F.col("found") & F.col("now").eqNullSafe(F.col("current_value")))
+    good = checked.where("ok").groupBy("id").agg(*[F.max(F.when(F.col("field") == f, F.struct(F.col("new_value").alias("v")))).alias(f"_{f}") for f in fields])
+    out = rows.join(good, "id", "left").select("id", *[F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.v")).otherwise(F.col(f)).alias(f) for f in fields])
+    return out, checked.where("not ok").select("id", "field", "current_value", "new_value", "now", "found")
 
 
 def content_hash(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """Order-free content of each partition: its rows and a sum of row hashes (SK2, M8)."""
-    cells = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("\\N")) for f in fields])
-    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(F.crc32(cells.cast("binary"))).alias("hash"))
+    """Order-free content of each partition: its rows, and two sums of 64-bit row hashes (SK2, M8)."""
+    # nulls and lengths go into the hash, so that no two rows run into each other
+    cells = [F.struct(F.col(f).isNull(), F.coalesce(F.length(F.col(f).cast("string")), F.lit(0)), F.col(f).cast("string")) for f in fields]
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), *cells).cast("decimal(38,0)"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.struct(total(1), total(2)).alias("hash"))
 
 
 def changed_partitions(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """(keys, change): partitions to write, ``changed`` or ``new`` (write-if-changed), and ``orphan`` ones to delete (SK2, SK3)."""
-    a = content_hash(old, keys, fields).withColumnsRenamed({"rows": "old_rows", "hash": "old_hash"})
+    """(keys, change): partitions to write, ``changed`` or ``new`` (write-if-changed), and ``orphan`` ones to
+    delete (SK2, SK3). Null keys are a partition like any other."""
+    a = content_hash(old, keys, fields).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("rows").alias("old_rows"), F.col("hash").alias("old_hash"))
     b = content_hash(new, keys, fields)
-    both = a.join(b, keys, "full_outer")
-    what = F.when(F.col("old_hash").isNull(), "new").when(F.col("hash").isNull(), "orphan").when((F.col("hash") != F.col("old_hash")) | (F.col("rows") != F.col("old_rows")), "changed")
-    return both.withColumn("change", what).where("change is not null").select(*keys, "change")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    both = a.join(b, same, "full_outer")
+    what = F.when(F.col("old_rows").isNull(), "new").when(F.col("rows").isNull(), "orphan").when((F.col("hash") != F.col("old_hash")) | (F.col("rows") != F.col("old_rows")), "changed")
+    place = [F.when(F.col("rows").isNull(), F.col(f"_{k}")).otherwise(F.col(k)).alias(k) for k in keys]
+    return both.withColumn("change", what).where("change is not null").select(*place, "change")
 
 
 def ranked_first(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

@@ -9,25 +9,25 @@ from locarium.operators import merge as M
 from .registry import load, places, places_sql, query
 
 _FIELDS = ["name", "phone", "note"]
-#: Existing rows: every second customer; blanks in turn.
+#: Existing rows: a row for each customer; blanks in turn.
 _OLD_SQL = """(SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'p' || c_custkey END AS phone,
-  CASE WHEN c_custkey % 5 = 0 THEN 'N/A' ELSE '' END AS note FROM customer WHERE c_custkey % 2 = 0)"""
-#: Two files: one row for every id, another for every third; some ids in both, some new.
-_NEW_SQL = """(SELECT c_custkey AS id, 'new ' || c_name AS name, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'q' || c_custkey END AS phone, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'n1' END AS note, 0 AS file_rank, c_custkey AS row_idx FROM customer WHERE c_custkey % 4 < 2
-  UNION ALL SELECT c_custkey, '', 'r' || c_custkey, 'n2', 1, 100000 - c_custkey FROM customer WHERE c_custkey % 3 = 0)"""
+  CASE WHEN c_custkey % 5 = 0 THEN 'N/A' ELSE '' END AS note FROM customer)"""
+#: Two files with a row for each customer under twice and thrice its number; some ids in both, some new.
+_NEW_SQL = """(SELECT c_custkey * 2 AS id, 'new ' || c_name AS name, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'q' || c_custkey END AS phone, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'n1' END AS note, 0 AS file_rank, c_custkey AS row_idx FROM customer
+  UNION ALL SELECT c_custkey * 3, '', 'r' || c_custkey, 'n2', 1, 100000 - c_custkey FROM customer)"""
 
 
 def _old(spark, sf_dir):
     k = F.col("c_custkey")
-    return load(spark, sf_dir, "customer").where(k % 2 == 0).select(k.alias("id"), F.when(k % 3 == 0, "").otherwise(F.col("c_name")).alias("name"), F.when(k % 4 != 0, F.concat(F.lit("p"), k.cast("string"))).alias("phone"), F.when(k % 5 == 0, "N/A").otherwise("").alias("note"))
+    return load(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 3 == 0, "").otherwise(F.col("c_name")).alias("name"), F.when(k % 4 != 0, F.concat(F.lit("p"), k.cast("string"))).alias("phone"), F.when(k % 5 == 0, "N/A").otherwise("").alias("note"))
 
 
 def _new(spark, sf_dir):
     k = F.col("c_custkey")
     customers = load(spark, sf_dir, "customer")
     s = k.cast("string")
-    one = customers.where(k % 4 < 2).select(k.alias("id"), F.concat(F.lit("new "), "c_name").alias("name"), F.when(k % 6 == 0, "").otherwise(F.concat(F.lit("q"), s)).alias("phone"), F.when(k % 7 != 0, "n1").alias("note"), F.lit(0).alias("file_rank"), k.alias("row_idx"))
-    two = customers.where(k % 3 == 0).select(k.alias("id"), F.lit("").alias("name"), F.concat(F.lit("r"), s).alias("phone"), F.lit("n2").alias("note"), F.lit(1).alias("file_rank"), (F.lit(100000) - k).alias("row_idx"))
+    one = customers.select((k * 2).alias("id"), F.concat(F.lit("new "), "c_name").alias("name"), F.when(k % 6 == 0, "").otherwise(F.concat(F.lit("q"), s)).alias("phone"), F.when(k % 7 != 0, "n1").alias("note"), F.lit(0).alias("file_rank"), k.alias("row_idx"))
+    two = customers.select((k * 3).alias("id"), F.lit("").alias("name"), F.concat(F.lit("r"), s).alias("phone"), F.lit("n2").alias("note"), F.lit(1).alias("file_rank"), (F.lit(100000) - k).alias("row_idx"))
     return one.unionByName(two)
 
 
@@ -67,22 +67,22 @@ def merge_counters(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-_RAW = "(SELECT CASE WHEN key % 13 = 0 THEN ' ' ELSE id END AS id, CASE WHEN key % 7 = 0 THEN NULL ELSE name END AS name, CASE WHEN key % 5 = 0 THEN 'north' ELSE CAST(lat AS VARCHAR) END AS lat, CASE key % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'many' ELSE CAST(key AS VARCHAR) END AS size, key FROM " + places_sql() + ")"
+_RAW = """(SELECT CASE WHEN key % 13 = 0 THEN ' ' ELSE id END AS id, CASE WHEN key % 7 = 0 THEN NULL ELSE name END AS name, CASE key % 5 WHEN 0 THEN '"north"' WHEN 1 THEN '"12"' ELSE CAST(lat AS VARCHAR) END AS lat,
+  CASE key % 4 WHEN 0 THEN 'true' WHEN 1 THEN '"7"' WHEN 2 THEN '-1.5e3' ELSE CAST(key AS VARCHAR) END AS size, key FROM """ + places_sql() + ")"
 
 
 def _raw(spark, sf_dir):
     k = F.col("key")
     return places(spark, sf_dir).select(
         F.when(k % 13 == 0, " ").otherwise(F.col("id")).alias("id"), F.when(k % 7 != 0, F.col("name")).alias("name"),
-        F.when(k % 5 == 0, "north").otherwise(F.col("lat").cast("string")).alias("lat"), F.when(k % 4 == 0, "true").when(k % 4 == 1, "many").otherwise(k.cast("string")).alias("size"), "key",
+        F.when(k % 5 == 0, '"north"').when(k % 5 == 1, '"12"').otherwise(F.col("lat").cast("string")).alias("lat"), F.when(k % 4 == 0, "true").when(k % 4 == 1, '"7"').when(k % 4 == 2, "-1.5e3").otherwise(k.cast("string")).alias("size"), "key",
     )
 
 
-@query(f"""SELECT key, list_filter([CASE WHEN trim(coalesce(id, '')) = '' THEN 'missing id' END, CASE WHEN trim(coalesce(name, '')) = '' THEN 'missing name' END,
-  CASE WHEN lat IS NOT NULL AND NOT regexp_matches(lat, '^[-+]?[0-9]+(\\.[0-9]+)?$') THEN 'lat is not a number' END,
-  CASE WHEN NOT regexp_matches(size, '^[-+]?[0-9]+(\\.[0-9]+)?$') AND size NOT IN ('true', 'false') THEN 'size is not a number' END], lambda x: x IS NOT NULL) AS errors FROM {_RAW}""")
+@query(f"""SELECT key, list_filter([CASE WHEN key % 13 = 0 THEN 'missing id' END, CASE WHEN key % 7 = 0 THEN 'missing name' END,
+  CASE WHEN key % 5 < 2 THEN 'lat is not a number' END, CASE WHEN key % 4 = 1 THEN 'size is not a number' END], lambda x: x IS NOT NULL) AS errors FROM {_RAW}""")
 def validate_rows(spark, sf_dir):
-    """F11 SK12: the errors of each record; any error stops an import."""
+    """F11 SK12: the errors of each record, numbers in quotes among them; any error stops an import."""
     return M.validated(_raw(spark, sf_dir), ["id", "name"], ["lat", "size"], flags_ok=("size",)).select("key", "errors")
 
 
@@ -97,7 +97,7 @@ def schema_defaults(spark, sf_dir):
 def unknown_fields(spark, sf_dir):
     """M6: keys of records that no field declares."""
     events = load(spark, sf_dir, "events").select(F.col("props").alias("json"))
-    odd = load(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.lit('{"zz": 1, "yy": null}').alias("json"))
+    odd = load(spark, sf_dir, "events").select(F.when(F.col("event_id") % 3 == 0, '{"zz": 1, "yy": null}').otherwise('{"k": 2}').alias("json"))
     return M.unknown_fields(events.unionByName(odd), ["k"])
 
 
@@ -107,30 +107,37 @@ def duplicate_ids(spark, sf_dir):
     return M.duplicate_ids(load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")))
 
 
-_CHANGES = "(SELECT o_orderkey AS id, 'status' AS field, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS current_value, 'Z' AS new_value FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 'priority', o_orderpriority, 'none' FROM orders WHERE o_orderkey % 10 = 0)"
+#: A change of each order's status (some expect a wrong value), of its priority, of its note (expected to be absent),
+#: and of a record that doesn't exist.
+_CHANGES = """(SELECT o_orderkey AS id, 'status' AS field, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS current_value, 'Z' AS new_value FROM orders UNION ALL SELECT o_orderkey, 'priority', o_orderpriority, 'none' FROM orders
+  UNION ALL SELECT o_orderkey, 'note', NULL, 'added' FROM orders UNION ALL SELECT -1 - o_orderkey, 'note', NULL, 'added' FROM orders)"""
+
+
+def _records(orders):
+    return orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.when(F.col("o_orderkey") % 4 != 0, "n").alias("note"))
 
 
 def _changes(orders):
     k = F.col("o_orderkey")
-    one = orders.where(k % 5 == 0).select(k.alias("id"), F.lit("status").alias("field"), F.when(k % 3 == 0, "X").otherwise(F.col("o_orderstatus")).alias("current_value"), F.lit("Z").alias("new_value"))
-    return one.unionByName(orders.where(k % 10 == 0).select(k.alias("id"), F.lit("priority").alias("field"), F.col("o_orderpriority").alias("current_value"), F.lit("none").alias("new_value")))
+    change = lambda i, field, now, new: F.struct(i.alias("id"), F.lit(field).alias("field"), now.alias("current_value"), F.lit(new).alias("new_value"))
+    none = F.lit(None).cast("string")
+    every = [change(k, "status", F.when(k % 3 == 0, "X").otherwise(F.col("o_orderstatus")), "Z"), change(k, "priority", F.col("o_orderpriority"), "none"), change(k, "note", none, "added"), change(-1 - k, "note", none, "added")]
+    return orders.select(F.explode(F.array(*every)).alias("c")).select("c.*")
 
 
-@query(f"""SELECT o_orderkey AS id, coalesce((SELECT max(new_value) FROM {_CHANGES} c WHERE c.id = o.o_orderkey AND field = 'status' AND current_value = o_orderstatus), o_orderstatus) AS status,
-  coalesce((SELECT max(new_value) FROM {_CHANGES} c WHERE c.id = o.o_orderkey AND field = 'priority' AND current_value = o_orderpriority), o_orderpriority) AS priority FROM orders o""")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE 'Z' END AS status, 'none' AS priority, CASE WHEN o_orderkey % 4 = 0 THEN 'added' ELSE 'n' END AS note FROM orders")
 def apply_optimistic(spark, sf_dir):
-    """M7: set a field only where it still has the expected value."""
+    """M7: set a field only where it still has the expected value, or is still absent."""
     orders = load(spark, sf_dir, "orders")
-    rows = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
-    return M.apply_changes(rows, _changes(orders), ["status", "priority"])[0]
+    return M.apply_changes(_records(orders), _changes(orders), ["status", "priority", "note"])[0]
 
 
-@query(f"SELECT c.id, field, current_value, new_value, o_orderstatus AS now FROM {_CHANGES} c JOIN orders o ON c.id = o.o_orderkey WHERE field = 'status' AND current_value <> o_orderstatus")
+@query("""SELECT o_orderkey AS id, 'status' AS field, 'X' AS current_value, 'Z' AS new_value, o_orderstatus AS now, true AS found FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT o_orderkey, 'note', NULL, 'added', 'n', true FROM orders WHERE o_orderkey % 4 <> 0 UNION ALL SELECT -1 - o_orderkey, 'note', NULL, 'added', NULL, false FROM orders""")
 def apply_failed(spark, sf_dir):
-    """M7: changes whose field has another value by now."""
+    """M7: changes whose field has another value by now, or whose record isn't there."""
     orders = load(spark, sf_dir, "orders")
-    rows = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
-    return M.apply_changes(rows, _changes(orders), ["status", "priority"])[1]
+    return M.apply_changes(_records(orders), _changes(orders), ["status", "priority", "note"])[1]
 
 
 def _versions(spark, sf_dir):
@@ -151,18 +158,18 @@ def orphan_partitions(spark, sf_dir):
     return M.changed_partitions(*_versions(spark, sf_dir), ["s_nationkey"], ["s_suppkey", "s_name"]).where("change = 'orphan'").select("s_nationkey")
 
 
-@query("SELECT s_suppkey, coalesce(n_name, CAST(s_nationkey AS VARCHAR)) AS state FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON s_nationkey = n_nationkey")
+@query("SELECT s_suppkey, coalesce(n_name, CAST(s_nationkey AS VARCHAR)) AS state FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey + 5")
 def state_names(spark, sf_dir):
     """Codes to names, the code itself where there is none. The code list is fixed and short."""
-    codes = load(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    codes = load(spark, sf_dir, "nation").select((F.col("n_nationkey") + 5).alias("s_nationkey"), "n_name")
     return load(spark, sf_dir, "supplier").join(codes, "s_nationkey", "left").select("s_suppkey", F.coalesce("n_name", F.col("s_nationkey").cast("string")).alias("state"))
 
 
-@query("SELECT url FROM (SELECT url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url FROM pages WHERE page_id % 3 = 0) GROUP BY url")
+@query("SELECT url FROM (SELECT url FROM pages UNION ALL SELECT regexp_replace(url, '[?#].*$', '') FROM pages) GROUP BY url")
 def bag_union_distinct(spark, sf_dir):
     """Concatenated inputs, then distinct links."""
     pages = load(spark, sf_dir, "pages")
-    return pages.where("page_id % 2 = 0").select("url").unionByName(pages.where("page_id % 3 = 0").select("url")).distinct()
+    return pages.select("url").unionByName(pages.select(F.regexp_replace("url", "[?#].*$", "").alias("url"))).distinct()
 
 
 @query("SELECT c_nationkey AS site, count(*) AS users, count(DISTINCT c_mktsegment) AS labels FROM customer GROUP BY 1")
@@ -177,9 +184,9 @@ def run_totals(spark, sf_dir):
     return _changes(load(spark, sf_dir, "orders")).agg(F.count("*").alias("changes"), F.countDistinct("id").alias("places"), F.count_if(F.col("field") == "status").alias("status_changes"))
 
 
-@query("SELECT o_orderpriority, CASE WHEN count(DISTINCT nullif(o_orderstatus, '')) = 1 THEN max(o_orderstatus) ELSE 'file' END AS label FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1")
+@query("SELECT o_custkey, CASE WHEN count(DISTINCT nullif(o_orderstatus, '')) = 1 THEN max(o_orderstatus) ELSE 'file' END AS label FROM orders GROUP BY 1")
 def single_label(spark, sf_dir):
     """The one label of a group, else the file's."""
-    rows = load(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+    rows = load(spark, sf_dir, "orders")
     one = F.countDistinct(F.when(F.col("o_orderstatus") != "", F.col("o_orderstatus"))) == 1
-    return rows.groupBy("o_orderpriority").agg(F.when(one, F.max("o_orderstatus")).otherwise(F.lit("file")).alias("label"))
+    return rows.groupBy("o_custkey").agg(F.when(one, F.max("o_orderstatus")).otherwise(F.lit("file")).alias("label"))

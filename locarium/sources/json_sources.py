@@ -44,10 +44,13 @@ def read_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.unionByName(bad)
 
 
-def record_fields(records: DataFrame, keys: list[str]) -> DataFrame:
-    """(file, row_idx, key columns as text, unknown ARRAY<STRING>): what the declared keys hold."""
+def record_fields(records: DataFrame, keys: list[str], numbers: tuple[str, ...] = ()) -> DataFrame:
+    """(file, row_idx, key columns as text, unknown ARRAY<STRING>): what the declared keys hold.
+    Those of ``numbers`` are JSON as it stands, texts in quotes, for :func:`~locarium.operators.merge.validated`."""
     text = F.to_json("record")
-    return records.where("error is null").select("file", "row_idx", *[F.get_json_object(text, f"$.{k}").alias(k) for k in keys], F.array_except(F.json_object_keys(text), F.array(*[F.lit(k) for k in keys])).alias("unknown"))
+    raw = lambda k: F.to_json(F.try_variant_get("record", f"$['{k}']", "variant"))
+    held = lambda k: F.when(raw(k) != "null", raw(k)) if k in numbers else F.get_json_object(text, f"$['{k}']")
+    return records.where("error is null").select("file", "row_idx", *[held(k).alias(k) for k in keys], F.array_except(F.json_object_keys(text), F.array(*[F.lit(k) for k in keys])).alias("unknown"))
 
 
 def read_geojson(spark: SparkSession, path: str, ident: str = "id") -> DataFrame:

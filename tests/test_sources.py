@@ -29,14 +29,14 @@ def test_read_places(spark, tmp_path):
 
 
 def test_records_keep_keys_and_types(spark, tmp_path):
-    put(tmp_path / "a.json", [{"id": "1", "lat": "north", "odd": None}, 7, {"id": None}])
+    put(tmp_path / "a.json", [{"id": "1", "lat": "12", "odd": None}, 7, {"id": None}, {"id": "2", "lat": -1.5}])
     put(tmp_path / "b.json", {"id": 1})
     r = J.read_records(spark, str(tmp_path))
-    assert sorted((x.error or "") for x in r.collect()) == ["", "", "not a JSON array", "not an object"]
+    assert sorted((x.error or "") for x in r.collect()) == ["", "", "", "not a JSON array", "not an object"]
     f = {x.row_idx: x for x in J.record_fields(r, ["id", "lat"]).collect()}
-    assert f[0].unknown == ["odd"] and f[0].lat == "north" and f[2].id is None
-    checked = M.validated(J.record_fields(r, ["id", "lat"]), ["id"], ["lat"]).orderBy("row_idx").collect()
-    assert [c.errors for c in checked] == [["lat is not a number"], ["missing id"]]
+    assert f[0].unknown == ["odd"] and f[0].lat == "12" and f[2].id is None
+    checked = M.validated(J.record_fields(r, ["id", "lat"], ("lat",)), ["id"], ["lat"]).orderBy("row_idx").collect()
+    assert [c.errors for c in checked] == [["lat is not a number"], ["missing id"], []]
 
 
 def test_bad_file_does_not_stop_others(spark, tmp_path):
