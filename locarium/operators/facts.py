@@ -57,8 +57,8 @@ def greedy_clusters(rows: DataFrame, by: list[str], value: str, order: str, matc
 
 
 def jsonld_objects(text) -> Column:
-    """Every object of a JSON text at any depth, as (type, name, telephone, email)."""
-    kind = pa.list_(pa.struct([(k, pa.string()) for k in ("type", "name", "telephone", "email")]))
+    """Every object of a JSON text at any depth, as (type, name, telephone, email, address, the last as JSON)."""
+    kind = pa.list_(pa.struct([(k, pa.string()) for k in ("type", "name", "telephone", "email", "address")]))
 
     def walk(x):
         if isinstance(x, dict):
@@ -75,10 +75,10 @@ def jsonld_objects(text) -> Column:
                 except (ValueError, RecursionError):
                     found = []
                 say = lambda x: None if x is None else x if isinstance(x, str) else json.dumps(x)
-                out.append([{"type": say(o.get("@type")), **{k: say(o.get(k)) for k in ("name", "telephone", "email")}} for o in found])
+                out.append([{"type": say(o.get("@type")), **{k: say(o.get(k)) for k in ("name", "telephone", "email", "address")}} for o in found])
             yield pa.array(out, kind)
 
-    return F.arrow_udf(run, "array<struct<type:string,name:string,telephone:string,email:string>>")(text)
+    return F.arrow_udf(run, "array<struct<type:string,name:string,telephone:string,email:string,address:string>>")(text)
 
 
 def labelled_matches(text, pattern: str, labels: dict[str, str]) -> Column:

@@ -80,25 +80,194 @@ def neighbour_roles(spark, sf_dir):
     return A.neighbour_roles(lines, "page", "ord", "line", "^Role", "^Name")
 
 
-_RECORDS = "(SELECT c_custkey AS id, 'phone' AS field, CASE WHEN c_custkey % 3 = 0 THEN 'N/A' ELSE 'v' || (c_custkey % 5) END AS current_value FROM customer)"
-_FACTS = "(SELECT o_custkey AS id, 'phone' AS field, 'v' || (o_orderkey % 4) AS value, 'u' || (o_orderkey % 6) AS url, 'on ' || o_orderkey AS evidence, o_orderkey % 5 = 0 AS from_listing FROM orders)"
+#: Facts derived from orders: values, roles, pages, page data and listings in all mixtures; people beside them.
+_FACTS = """(SELECT o_custkey AS id, o_orderkey % 2 = 1 AS mail, CASE WHEN o_orderkey % 2 = 1 THEN ['info', 'giving', 'ann', 'doe', 'lead'][o_orderkey % 5 + 1] || '@x' || (o_orderkey // 8 % 2) || '.org' ELSE 'v' || (o_orderkey // 2 % 4) END AS value,
+  ['main', 'lead', ''][o_orderkey % 3 + 1] AS role, 'https://x.org/' || ['', 'contact-us', 'blog/1', 'staff', 'history'][o_orderkey // 4 % 5 + 1] AS url, 'call ' || ['Doe', 'Roedoe', 'Lee'][o_orderkey // 2 % 3 + 1] || ' now' AS evidence,
+  o_orderkey % 11 = 0 AS structured, o_orderkey // 3 % 7 = 0 AS listed, o_orderkey AS ord FROM orders)"""
+_RECORDS = "(SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'N/A' WHEN 1 THEN 'v' || (c_custkey % 5) ELSE NULL END AS current_value FROM customer)"
+
+
+def _pick(values: list[str], by) -> F.Column:
+    return F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
 
 
 def _facts(spark, sf_dir):
-    c, k = F.col("c_custkey"), F.col("o_orderkey")
-    s = lambda x, y: F.concat(F.lit(x), y.cast("string"))
-    records = load(spark, sf_dir, "customer").select(c.alias("id"), F.lit("phone").alias("field"), F.when(c % 3 == 0, "N/A").otherwise(s("v", c % 5)).alias("current_value"))
-    facts = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.lit("phone").alias("field"), s("v", k % 4).alias("value"), s("u", k % 6).alias("url"), s("on ", k).alias("evidence"), (k % 5 == 0).alias("from_listing"))
-    return records, facts
+    k = F.col("o_orderkey")
+    div = lambda n: F.floor(k / n)
+    s = lambda x: x.cast("string")
+    value = F.when(k % 2 == 1, F.concat(_pick(["info", "giving", "ann", "doe", "lead"], k), F.lit("@x"), s(div(8) % 2), F.lit(".org"))).otherwise(F.concat(F.lit("v"), s(div(2) % 4)))
+    return load(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("id"), (k % 2 == 1).alias("mail"), value.alias("value"), _pick(["main", "lead", ""], k).alias("role"), F.concat(F.lit("https://x.org/"), _pick(["", "contact-us", "blog/1", "staff", "history"], div(4))).alias("url"),
+        F.concat(F.lit("call "), _pick(["Doe", "Roedoe", "Lee"], div(2)), F.lit(" now")).alias("evidence"), (k % 11 == 0).alias("structured"), (div(3) % 7 == 0).alias("listed"), k.alias("ord"),
+    )
+
+
+def _records(spark, sf_dir):
+    c = F.col("c_custkey")
+    return load(spark, sf_dir, "customer").select(c.alias("id"), F.when(c % 3 == 0, "N/A").when(c % 3 == 1, F.concat(F.lit("v"), (c % 5).cast("string"))).alias("current_value"))
+
+
+def _main_sql(facts: str, mailbox: bool) -> str:
+    excluded = "AND NOT regexp_matches(split_part(value, '@', 1), 'giving|news|music')" if mailbox else ""
+    return f"""(SELECT id, value, source_url, sitewide FROM (SELECT *, rank() OVER (PARTITION BY id ORDER BY (main > 0 OR data) DESC, pages DESC) AS r FROM (
+  SELECT id, value, count(DISTINCT url) AS pages, count(*) FILTER (role = 'main') AS main, bool_or(structured) AS data, count(DISTINCT url) >= 2 OR bool_or(structured OR listed) AS sitewide,
+    bool_or(role = 'main' AND (url = 'https://x.org/' OR contains(url, 'contact'))) AS contact, arg_min(url, ord) AS source_url
+  FROM {facts} WHERE {'mail' if mailbox else 'NOT mail'} {excluded} GROUP BY id, value HAVING count(*) FILTER (role = 'lead') <= count(*) FILTER (role = 'main'))) WHERE r = 1 QUALIFY count(*) OVER (PARTITION BY id) = 1 AND (sitewide OR contact))"""
+
+
+def _offer_sql(own: str, every: str, mail: str) -> str:
+    return f"""SELECT r.id, current_value, coalesce(o.value, e.value) AS new_value, CASE WHEN blank THEN 'add' ELSE 'replace' END AS action, CASE WHEN o.id IS NULL THEN e.source_url ELSE o.source_url END AS source_url
+FROM (SELECT *, current_value IS NULL OR current_value = 'N/A' AS blank FROM {_RECORDS}) r LEFT JOIN {own} o ON o.id = r.id LEFT JOIN {every} e ON e.id = r.id AND blank
+WHERE coalesce(o.value, e.value) IS NOT NULL AND (blank OR (o.sitewide AND coalesce(o.value, e.value) <> current_value AND NOT EXISTS (SELECT 1 FROM {_FACTS} f WHERE f.id = r.id AND {mail} AND NOT listed AND f.value = current_value)))"""
+
+
+_OWN = f"(SELECT * FROM {_FACTS} WHERE NOT listed)"
 
 
-@query(f"""WITH v AS (SELECT id, field, value, count(DISTINCT CASE WHEN NOT from_listing THEN url END) AS own, min(url) AS source_url FROM {_FACTS} GROUP BY ALL),
-b AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY id, field ORDER BY own > 0 DESC, own DESC) AS r FROM v) WHERE r = 1 QUALIFY count(*) OVER (PARTITION BY id, field) = 1)
-SELECT r.id, field, current_value, value AS new_value, CASE WHEN current_value = 'N/A' THEN 'add' ELSE 'replace' END AS action, source_url FROM {_RECORDS} r JOIN b USING (id, field)
-WHERE NOT EXISTS (SELECT 1 FROM {_FACTS} f WHERE f.id = r.id AND NOT from_listing AND f.value = r.current_value) AND (current_value = 'N/A' OR (own >= 2 AND value <> current_value))""")
+@query("SELECT false AS mail, * FROM (" + _offer_sql(_main_sql(_OWN, False), _main_sql(_FACTS, False), "NOT mail") + ") UNION ALL SELECT true, * FROM (" + _offer_sql(_main_sql(_OWN, True), _main_sql(_FACTS, True), "mail") + ")")
 def decide_changes(spark, sf_dir):
-    """Add or replace by the one best supported value."""
-    return D.offers(*_facts(spark, sf_dir), lambda a, b: a == b).drop("evidence")
+    """Add or replace main numbers and mailboxes; own facts before listed ones."""
+    records, facts = _records(spark, sf_dir), _facts(spark, sf_dir)
+    parts = [D.offers(records, facts.where("mail" if m else "not mail"), lambda f, m=m: D.main_contact(f, m), lambda a, b: a == b).withColumn("mail", F.lit(m)) for m in (False, True)]
+    return parts[0].unionByName(parts[1]).drop("evidence")
+
+
+def _lead_sql(mailbox: bool) -> str:
+    named = "(contains(split_part(value, '@', 1), last) OR contains(split_part(value, '@', 1), given) OR split_part(value, '@', 1) IN ('lead', 'director'))" if mailbox else "lower(split_part(evidence, ' ', 2)) = last"
+    return f"""SELECT id, value, {'true' if mailbox else 'false'} AS mail FROM (SELECT id, value, rank() OVER (PARTITION BY id ORDER BY count(DISTINCT url) DESC) AS r FROM (
+  SELECT f.*, CASE WHEN id % 2 = 0 THEN 'doe' ELSE 'lee' END AS last, CASE WHEN id % 2 = 0 THEN 'ann' ELSE 'bo_no' END AS given FROM {_FACTS} f WHERE {'mail' if mailbox else 'NOT mail'})
+  GROUP BY id, value HAVING bool_or(role = 'lead' AND (listed OR {named}))) WHERE r = 1 QUALIFY count(*) OVER (PARTITION BY id) = 1"""
+
+
+@query(_lead_sql(False) + " UNION ALL " + _lead_sql(True))
+def lead_contacts(spark, sf_dir):
+    """D3: the lead's own number and mailbox, labelled and named."""
+    facts = _facts(spark, sf_dir)
+    leads = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, "Dr. Ann Doe, Jr.").otherwise("Bo Lee").alias("name"))
+    return D.lead_contact(facts.where("not mail"), leads).select("id", "value", F.lit(False).alias("mail")).unionByName(D.lead_contact(facts.where("mail"), leads, mailbox=True).select("id", "value", F.lit(True).alias("mail")))
+
+
+_PEOPLE = """(SELECT o_custkey AS id, ['Ann Doe', 'Bo Roe', 'A. Doe', 'Cy Poe-Doe'][p + 1] AS value, ['doe', 'roe', 'doe', 'poe-doe'][p + 1] AS last, ['other', 'weak', 'lead'][1 + CASE WHEN o_custkey % 2 = 0 THEN o_orderkey % 3 ELSE o_orderkey % 2 END] AS role,
+  'https://x.org/' || ['', 'staff/all', 'history', 'blog', 'our-staff'][o_orderkey // 4 % 5 + 1] AS url, o_orderkey // 3 % 7 = 0 AS listed, o_orderkey AS ord
+  FROM (SELECT *, CASE WHEN o_custkey % 3 = 0 THEN o_orderkey // 2 % 4 ELSE o_custkey % 3 - 1 END AS p FROM orders))"""
+
+
+def _people(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    p = F.when(c % 3 == 0, F.floor(k / 2) % 4).otherwise(c % 3 - 1)
+    return load(spark, sf_dir, "orders").select(
+        c.alias("id"), _pick(["Ann Doe", "Bo Roe", "A. Doe", "Cy Poe-Doe"], p).alias("value"), F.element_at(F.array(F.lit("other"), F.lit("weak"), F.lit("lead")), (F.when(c % 2 == 0, k % 3).otherwise(k % 2) + 1).cast("int")).alias("role"),
+        F.concat(F.lit("https://x.org/"), _pick(["", "staff/all", "history", "blog", "our-staff"], F.floor(k / 4))).alias("url"), F.lit("e").alias("evidence"), (F.floor(k / 3) % 7 == 0).alias("listed"), k.alias("ord"),
+    )
+
+
+def _person_sql(own: bool) -> str:
+    return f"""(SELECT id, arg_min(value, ord) AS name FROM (SELECT *, count(*) FILTER (role = 'lead') OVER (PARTITION BY id) AS leads, max(last) FILTER (role = 'weak') OVER (PARTITION BY id) = min(last) FILTER (role = 'weak') OVER (PARTITION BY id) AS one_weak
+  FROM {_PEOPLE} WHERE NOT contains(url, 'history') {'AND NOT listed' if own else ''}) WHERE (role = 'lead' OR (leads = 0 AND role = 'weak' AND one_weak)) AND (listed OR url = 'https://x.org/' OR contains(url, 'staff')) GROUP BY id HAVING min(last) = max(last))"""
+
+
+@query(f"SELECT id, name FROM {_person_sql(False)}")
+def lead_people(spark, sf_dir):
+    """The one lead on staff pages, weak roles only where no strong one stands."""
+    return D.lead_person(_people(spark, sf_dir), "history", "staff").select("id", "name")
+
+
+@query(f"""SELECT r.id, current_value, CASE WHEN v = 1 THEN 'Prof. ' ELSE '' END || coalesce(o.name, e.name) AS new_value, CASE WHEN v = 0 THEN 'add' ELSE 'replace' END AS action
+FROM (SELECT c_custkey AS id, c_custkey % 4 AS v, ['', 'Prof. Zed Zoe', 'Ann Doe', 'Al Poe'][c_custkey % 4 + 1] AS current_value FROM customer) r LEFT JOIN {_person_sql(True)} o ON o.id = r.id LEFT JOIN {_person_sql(False)} e ON e.id = r.id AND v = 0
+WHERE coalesce(o.name, e.name) IS NOT NULL AND CASE v WHEN 2 THEN coalesce(o.name, '') = 'Bo Roe' AND NOT EXISTS (SELECT 1 FROM {_PEOPLE} p WHERE p.id = r.id AND role <> 'other' AND value IN ('Ann Doe', 'A. Doe')) ELSE true END""")
+def lead_name_changes(spark, sf_dir):
+    """Another lead, if the current one is named in no such role; a recorded title stays."""
+    c = F.col("c_custkey")
+    records = load(spark, sf_dir, "customer").select(c.alias("id"), _pick(["", "Prof. Zed Zoe", "Ann Doe", "Al Poe"], c).alias("current_value"))
+    return D.name_changes(records, _people(spark, sf_dir), "history", "staff", r"Prof\.|Dr\.").drop("source_url", "evidence")
+
+
+_PLACES = """(SELECT o_custkey AS id, o_custkey || CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 4 = 0 THEN ' Elm' ELSE ' Oak' END || [' St, ', ' Street, ', ' St, '][o_orderkey % 3 + 1] || ['Waco', 'Mt Vernon'][o_custkey % 2 + 1] || ', TX' AS value,
+  o_custkey % 3 = 0 AND o_orderkey % 4 = 0 AS elm, 'u' || (o_orderkey // 4 % 2) AS url, o_orderkey % 13 = 0 AS structured, o_orderkey AS ord FROM orders)"""
+
+
+@query(f"""WITH p AS (SELECT id, min(elm) = max(elm) AND (bool_or(structured) OR count(DISTINCT url) >= 2) AS ok, coalesce(arg_min(value, ord) FILTER (structured), (SELECT value FROM {_PLACES} m WHERE m.id = f.id GROUP BY value ORDER BY count(*) DESC, min(ord) LIMIT 1)) AS value FROM {_PLACES} f GROUP BY id),
+r AS (SELECT c_custkey AS id, c_custkey % 4 AS v, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN c_custkey || ' North Oak Ave, Waco, TX' WHEN 2 THEN (c_custkey + 1) || ' Old Rd, Waco, TX' ELSE 'PO Box 5' END AS address, CASE WHEN c_custkey % 5 = 0 THEN 'Mount Vernon' ELSE 'Waco' END AS city, CASE WHEN c_custkey % 7 = 0 THEN 'Texas' ELSE 'OH' END AS state FROM customer),
+j AS (SELECT r.*, p.value FROM r JOIN p USING (id) WHERE ok AND v <> 1 AND NOT (v = 2 AND id % 8 = 2))
+SELECT id, 'address' AS field, address AS current_value, value AS new_value, CASE WHEN address IS NULL THEN 'add' ELSE 'replace' END AS action FROM j
+UNION ALL SELECT id, 'city', city, CASE WHEN id % 2 = 0 THEN 'Waco' ELSE 'Mt Vernon' END, 'replace' FROM j WHERE (id % 2 = 0) = (city <> 'Waco') UNION ALL SELECT id, 'state', state, 'TX', 'replace' FROM j WHERE state = 'OH'""")
+def address_changes(spark, sf_dir):
+    """The site's one address, with city and state."""
+    from locarium.operators.extract import STATES
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    s = lambda x: x.cast("string")
+    value = F.concat(s(c), F.when((c % 3 == 0) & (k % 4 == 0), " Elm").otherwise(" Oak"), _pick([" St, ", " Street, ", " St, "], k), _pick(["Waco", "Mt Vernon"], c), F.lit(", TX"))
+    facts = load(spark, sf_dir, "orders").select(c.alias("id"), value.alias("value"), F.concat(F.lit("u"), s(F.floor(k / 4) % 2)).alias("url"), F.lit("e").alias("evidence"), (k % 13 == 0).alias("structured"), k.alias("ord"))
+    i = F.col("c_custkey")
+    address = F.when(i % 4 == 1, F.concat(s(i), F.lit(" North Oak Ave, Waco, TX"))).when(i % 4 == 2, F.concat(s(i + 1), F.lit(" Old Rd, Waco, TX"))).when(i % 4 == 3, "PO Box 5")
+    records = load(spark, sf_dir, "customer").select(i.alias("id"), address.alias("address"), F.when(i % 5 == 0, "Mount Vernon").otherwise("Waco").alias("city"), F.when(i % 7 == 0, "Texas").otherwise("OH").alias("state"))
+    numbers = records.select("id", F.when(F.col("id") % 8 == 2, s(F.col("id") + 1)).otherwise("x").alias("number"))
+    return D.address_changes(records, facts, numbers, STATES).drop("source_url", "evidence")
+
+
+_LIVE = """(SELECT o_custkey AS id, ['https://www.youtube.com/@c/live', 'https://youtube.com/@C', 'https://vimeo.com/x'][CASE WHEN o_custkey % 2 = 0 THEN o_orderkey % 2 ELSE o_orderkey % 3 END + 1] AS value, CASE WHEN o_orderkey % 5 = 0 THEN 'labelled' ELSE '' END AS role, o_orderkey // 3 % 7 = 0 AS listed, o_orderkey AS ord FROM orders)"""
+
+
+@query(f"""SELECT c_custkey AS id, [NULL, 'n/a', 'https://a.b/c'][c_custkey % 3 + 1] AS current_value, value AS new_value, 'add' AS action FROM customer JOIN (SELECT id, arg_min(value, ord) AS value FROM {_LIVE}
+  WHERE NOT listed AND (role = 'labelled' OR (id % 4 < 2 AND contains(value, 'youtube'))) GROUP BY id HAVING bool_and(contains(value, 'youtube')) OR bool_and(contains(value, 'vimeo'))) ON id = c_custkey WHERE c_custkey % 3 < 2""")
+def channel_changes(spark, sf_dir):
+    """D9 A15 S-25: a blank channel by the only one that the site links as a stream."""
+    k, c, i = F.col("o_orderkey"), F.col("o_custkey"), F.col("c_custkey")
+    urls = ["https://www.youtube.com/@c/live", "https://youtube.com/@C", "https://vimeo.com/x"]
+    value = F.element_at(F.array(*map(F.lit, urls)), (F.when(c % 2 == 0, k % 2).otherwise(k % 3) + 1).cast("int"))
+    facts = load(spark, sf_dir, "orders").select(c.alias("id"), value.alias("value"), F.when(k % 5 == 0, "labelled").otherwise("").alias("role"), F.lit("u").alias("url"), F.lit("e").alias("evidence"), (F.floor(k / 3) % 7 == 0).alias("listed"), k.alias("ord"))
+    customers = load(spark, sf_dir, "customer")
+    records = customers.select(i.alias("id"), F.when(i % 3 == 1, "n/a").when(i % 3 == 2, "https://a.b/c").alias("current_value"))
+    talks = customers.select(F.when(i % 4 < 2, i).alias("id"))
+    return D.channel_changes(records, facts, talks, T.channel_key).drop("source_url", "evidence")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, lpad(CAST(s_suppkey % 10000 AS VARCHAR), 4, '0') AS n FROM supplier)
+SELECT id, kind, value, role, structured FROM (
+SELECT id, 'phone' AS kind, '254222' || n AS value, 'main' AS role, false AS structured FROM s UNION ALL SELECT id, 'phone', '254333' || n, 'main', false FROM s UNION ALL SELECT id, 'email', 'info@w' || id || '.org', 'main', false FROM s
+UNION ALL SELECT id, 'address', id || ' N Main St, Boston, MA', '', false FROM s UNION ALL SELECT id, 'person', 'Ann Doe', 'lead', false FROM s UNION ALL SELECT id, 'person', 'Bo Roe', 'weak', false FROM s
+UNION ALL SELECT id, 'phone', '254444' || n, 'main', false FROM s UNION ALL SELECT id, 'email', 'ann.lead@w.org', 'lead', false FROM s UNION ALL SELECT id, 'livestream', 'https://www.youtube.com/@w' || id, 'labelled', false FROM s
+UNION ALL SELECT id, 'phone', '254777' || n, 'main', true FROM s UNION ALL SELECT id, 'address', id || ' Oak Ct, Austin, TX', '', true FROM s)""")
+def page_facts(spark, sf_dir):
+    """D1 F23 F24 S-15 S-18 S-19 S-20 S-21 S-22 S-32 X3: all kinds of facts of a page, faxes and junk left out."""
+    from locarium.operators.extract import page_facts as found
+
+    k = F.col("s_suppkey").cast("string")
+    n = F.lpad((F.col("s_suppkey") % 10000).cast("string"), 4, "0")
+    text = F.concat(F.lit("Office: (254) 222-"), n, F.lit("\nfax: 254-222-1111\nDirector\nAnn Doe\nCall 254.333."), n, F.lit("\n"), k, F.lit(" NORTH Main Street, Boston, MA 02110\nmail Info@w"), k, F.lit(".org or you@example.com or pic@2x.png\nBo Roe, Assistant"))
+    links = [("tel:+1-254-444-{n}", "Front desk"), ("mailto:Ann.Lead@w.org?subject=x", ""), ("https://www.youtube.com/@w{k}#top", "Watch live"), ("https://www.youtube.com/watch?v=1", "one recording"), ("/about", "About")]
+    link = lambda href, label: F.struct(F.replace(F.replace(F.lit(href), F.lit("{n}"), n), F.lit("{k}"), k).alias("href"), F.lit(label).alias("label"))
+    data = F.concat(F.lit('{"@graph": [{"@type": ["Organization"], "telephone": "254 777 '), n, F.lit('", "address": {"streetAddress": "'), k, F.lit(' OAK Court", "addressLocality": "Austin", "addressRegion": "Texas"}}, {"@type": "Event", "telephone": "254 888 1234"}]}'))
+    pages = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), text.alias("text"), F.array(*[link(*x) for x in links]).alias("links"), data.alias("data"))
+    return found(pages, ["id"]).drop("evidence")
+
+
+@query("SELECT id, field, value, ord FROM (SELECT o_custkey AS id, 'own' AS field, 'v' || o_orderkey AS value, o_orderkey AS ord FROM orders UNION ALL SELECT c_custkey, 'listed', 'w' || c_custkey, 1000000000 + c_custkey FROM customer)")
+def fact_union(spark, sf_dir):
+    """The site's own facts, then those of listings, in order."""
+    own = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.lit("own").alias("field"), F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("value"), F.col("o_orderkey").alias("ord"))
+    listed = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("listed").alias("field"), F.concat(F.lit("w"), F.col("c_custkey").cast("string")).alias("value"), (F.lit(1_000_000_000) + F.col("c_custkey")).alias("ord"))
+    return own.unionByName(listed)
+
+
+@query("SELECT DISTINCT c_nationkey AS value, CASE WHEN c_nationkey % 4 = 0 THEN 'unlisted' ELSE 'listed' END AS kind FROM customer")
+def used_and_listed(spark, sf_dir):
+    """U4: values in use that a list has, and those that it lacks."""
+    used = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("value"))
+    listed = load(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") % 4 != 0, F.col("n_nationkey")).alias("value"))
+    return used.intersect(listed).withColumn("kind", F.lit("listed")).unionByName(used.distinct().join(listed, "value", "left_anti").withColumn("kind", F.lit("unlisted")))
+
+
+@query("SELECT page_id, CAST(r AS INTEGER) AS row, ['Alpha', 'Beta'][r + 1] || page_id AS name, CASE WHEN r = 0 THEN '/p' || page_id END AS link FROM pages, (VALUES (0), (1)) AS v(r)")
+def listing_items(spark, sf_dir):
+    """Rows of listing pages by classes, with the links of their fields."""
+    from locarium.operators.extract import listings
+
+    k = F.col("page_id").cast("string")
+    html = F.concat(F.lit('<ul><li class="card"><a class="name" href="/p'), k, F.lit('">Alpha'), k, F.lit('</a></li><li class="card x"><p class="name">Beta'), k, F.lit("</p></li></ul>"))
+    rows = listings(load(spark, sf_dir, "pages").select("page_id", html.alias("html")), ["page_id"], "html", "card", {"name": "name"})
+    return rows.select("page_id", F.col("row").cast("int").alias("row"), F.col("fields")["name"].alias("name"), F.col("fields")["name_link"].alias("link"))
 
 
 @query("SELECT c_custkey AS id, 'lead' AS field, 'L' || (c_custkey % 30) AS current_value, 'L' || c_nationkey AS new_value FROM customer WHERE c_custkey % 30 <> c_nationkey")
