@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -77,17 +78,19 @@ class Scratch:
 
     ``keep`` writes a DataFrame and returns it as read back, which cuts its
     lineage: if an executor is lost, its tables are still there. The folder is
-    the one that ``spark.checkpoint.dir`` names; only where that is unset (as in
-    tests) a temporary folder is made.
+    the one that ``spark.checkpoint.dir`` names; only where that is unset and Spark
+    runs in one process (as in tests) a temporary folder is made.
     """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = f"file://{tempfile.gettempdir()}/checkpoints"
         self.root = f"{root}/{what}-{uuid.uuid4().hex}"
-        self.made = 0
+        self.made, self.paths = 0, set()
 
     def keep(self, df: DataFrame, *by: str) -> DataFrame:
         self.made += 1
@@ -96,14 +99,23 @@ class Scratch:
         (writer.partitionBy(*by) if by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.paths.add(path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete kept tables that no later step reads."""
-        for df in frames:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete({df._scratch_path for df in frames})
+
+    def only(self, *frames: DataFrame) -> None:
+        """Delete all kept tables but these, which the result still reads."""
+        self._delete(self.paths - {df._scratch_path for df in frames})
+
+    def _delete(self, paths: set[str]) -> None:
+        sc = self.spark.sparkContext
+        for name in paths & self.paths:
+            path = sc._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths -= paths
 
 
 def spread(df: DataFrame) -> int:

@@ -246,7 +246,7 @@ def similar_vectors(vectors: DataFrame, ident: str = "vec_id", column: str = "em
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     named = placed.select("g", "f1", "f2", "first", "copies", "rep").join(counts, "rep", "left").join(comp, "rep", "left")
     named = scratch.keep(named.select("g", "f1", "f2", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")))
-    scratch.drop(found, placed)
+    scratch.only(known, named)
     least_id = named.groupBy("component").agg(F.min("first").alias("least"))
     named = named.join(least_id, "component").select("g", "f1", "f2", "n_links", "least")
     out = known.select("id", "g", "f1", "f2").join(named, ["g", "f1", "f2"], "left")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import text_udf
+from .base import give_back, text_udf
 
 #: What is taken off the edges of words.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’„…¡¿–—·•"
@@ -203,6 +203,8 @@ def fitted(sample: DataFrame, counts: dict[int, int], features: Features, learne
                 learner.agree(ids, o, strength)
     weights = learner.weights()
     used = [sum(y == v for _, y, _ in data) for v in (0, 1)]
+    del data
+    give_back()
     if prior and min(used):  # back from the sample's shares of the labels to the table's
         weights[-1] += np.log(counts[1] / counts[0]) - np.log(used[1] / used[0])
     return Model(features, weights)

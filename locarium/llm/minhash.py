@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, spread, table, text_udf
+from .base import Scratch, give_back, spread, table, text_udf
 from .components import connected_components
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -196,7 +196,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     A document without words or text has an empty set and is linked with nothing.
     Repeated rows are linked with each other (and each kept, if they have the
     smallest id); a null doc_id never names a component unless no other is in it.
-    Other columns of docs aren't read. ``agree``: equal half keys of a pair worth a
+    Texts of any length are taken whole; other columns of docs aren't read; an empty
+    table gives an empty one. Sets hold 64-bit hashes of the word sequences, so two
+    sequences of one hash (one pair in 2 ** 64) count as equal. ``agree``: equal half keys of a pair worth a
     comparison; ``block``: rows of a block. ``most_sent``: up to so many candidate ids
     are broadcast to find their texts; more are joined by a shuffle. With ``keys`` also
     key (:func:`row_key`) and component, a number that differs where an id that stands on
@@ -279,7 +281,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     least = scratch.keep(named.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("of")).where("of > 1").drop("of"))
     least = F.broadcast(least) if least.count() <= most_sent else least
     named = scratch.keep(named.join(least, "component", "left").select("f1", "f2", "component", F.coalesce("least", "first").alias("name")))
-    scratch.drop(tensor, members, wanted, sets, links, classes)
+    scratch.only(signed, named)
+    give_back()
     out = signed.select("doc_id", "key", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id"), *(["key", "component"] if keys else []))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -15,6 +15,7 @@ row by row, without a shuffle of texts.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -98,10 +99,17 @@ def _leaf_columns(docs: DataFrame, domain, tokens) -> DataFrame:
     return docs.select(F.col("doc_id"), domain(F.coalesce("source", F.lit(""))).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), tokens(F.col("text")).alias("n_tokens"))
 
 
-def plan_mix(rows: DataFrame, mix: Mix, scratch: Scratch, digits: int = 3) -> DataFrame:
+def plan_mix(rows: DataFrame, mix: Mix, scratch: Scratch, digits: int | None = None) -> DataFrame:
     """A row for each leaf: ``epochs`` whole epochs, then all buckets before ``cut`` and, in it,
-    the rows whose hash is up to last_hash. ``rows``: doc_id, LEVELS, n_tokens."""
-    leaves = scratch.keep(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply")))
+    the rows whose hash is up to last_hash. ``rows``: doc_id, LEVELS, n_tokens.
+
+    A bucket is the first ``digits`` hex digits of the hash; without a number, as many as give the
+    largest leaf about as many buckets as rows in each, so that neither is ordered in one
+    task beyond the square root of its rows (within a factor of four).
+    """
+    leaves = scratch.keep(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"), F.count("*").alias("rows")))
+    if digits is None:
+        digits = max(1, round(math.log(leaves.agg(F.max("rows")).first()[0] or 1, 256)))
     plan = leaf_budgets(leaves, mix)
     whole = F.when(F.col("supply") > 0, F.expr("budget div supply")).otherwise(F.lit(0)).cast("int")
     plan = scratch.keep(plan.withColumn("epochs", whole).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("supply")).select(*LEVELS, "budget", "epochs", "rest"))
@@ -121,35 +129,38 @@ def _joined(rows: DataFrame, plan: DataFrame, most_sent: int = 50_000) -> DataFr
     return rows.join(F.broadcast(plan) if plan.count() <= most_sent else plan, list(LEVELS))
 
 
-def _chosen(rows: DataFrame, mix: Mix, digits: int) -> DataFrame:
+def _chosen(rows: DataFrame, mix: Mix) -> DataFrame:
     """One row for each epoch in which a row of the plan is drawn."""
     hashed = _order(F.col("epochs"), mix.seed)
-    partial = (F.col("rest") > 0) & ((F.substring(hashed, 1, digits) < F.col("cut")) | ((F.substring(hashed, 1, digits) == F.col("cut")) & F.coalesce(hashed <= F.col("last_hash"), F.lit(False))))
+    bucket = F.substring(hashed, F.lit(1), F.length("cut"))
+    partial = (F.col("rest") > 0) & ((bucket < F.col("cut")) | ((bucket == F.col("cut")) & F.coalesce(hashed <= F.col("last_hash"), F.lit(False))))
     times = F.col("epochs") + F.coalesce(partial, F.lit(False)).cast("int")
     return rows.withColumn("times", times).where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
 
 
-def mixed(docs: DataFrame, mix: Mix, domain=domain_of, tokens=words, digits: int = 3) -> DataFrame:
+def mixed(docs: DataFrame, mix: Mix, domain=domain_of, tokens=words, digits: int | None = None) -> DataFrame:
     """doc_id, epoch, domain, lang, source, n_tokens: a row for each time a document is drawn.
 
     ``tokens`` counts a text's tokens (none in a null or empty text; such a document is
-    drawn if the prefix goes past it). A null language or source is the blank one. Repeated
-    rows count each, but are drawn together. ``digits``: hex digits of the hash by which
-    a leaf's rows are bucketed, for leaves of more than 16 ** digits thousand rows one more.
+    drawn if the prefix goes past it); texts of any length are counted whole. A null language or
+    source is the blank one. Repeated rows count each, but are drawn together. An empty table
+    gives an empty one; other columns aren't read. ``digits`` as in :func:`plan_mix`.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.keep(_leaf_columns(docs, domain, tokens))
     plan = plan_mix(rows, mix, scratch, digits)
-    return _chosen(_joined(rows, plan), mix, digits).select("doc_id", F.col("epoch").cast("int").alias("epoch"), *LEVELS, "n_tokens")
+    scratch.only(rows, plan)
+    return _chosen(_joined(rows, plan), mix).select("doc_id", F.col("epoch").cast("int").alias("epoch"), *LEVELS, "n_tokens")
 
 
-def mixed_documents(docs: DataFrame, mix: Mix, domain=domain_of, tokens=words, digits: int = 3) -> DataFrame:
+def mixed_documents(docs: DataFrame, mix: Mix, domain=domain_of, tokens=words, digits: int | None = None) -> DataFrame:
     """The drawn documents themselves, with the columns of docs: as often as they are drawn."""
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.keep(_leaf_columns(docs, domain, tokens))
     plan = plan_mix(rows, mix, scratch, digits)
+    scratch.only(plan)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), domain(F.coalesce("source", F.lit(""))).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
-    return _chosen(_joined(own, plan), mix, digits).select("row.*")
+    return _chosen(_joined(own, plan), mix).select("row.*")
 
 
 #: The mix of the query: three domains by 5 : 3 : 2, English twice as much as the others.

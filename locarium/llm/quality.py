@@ -23,7 +23,8 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
     """doc_id, held_out, score and predicted for every row of docs.
 
     A null or empty text gets the score of no words; repeated rows are scored
-    each; other columns of docs aren't read.
+    each; a text of any length is scored whole; other columns of docs aren't read;
+    an empty table gives an empty one.
     """
     scored = docs.select("doc_id", model.column()("text").alias("q"))
     return scored.select("doc_id", held_out("doc_id", FOLDS, FOLD).alias("held_out"), F.col("q.score").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

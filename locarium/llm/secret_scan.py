@@ -140,8 +140,9 @@ def digest_columns(spans: Column, base: list[str]) -> list[Column]:
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     """doc_id and one struct column ``found`` of span arrays for every row of docs.
 
-    A null or empty text has no spans; repeated rows are scanned each; other
-    columns of docs are not read, so clashing names don't matter.
+    A null or empty text has no spans; repeated rows are scanned each; a text of any
+    length is scanned whole, in one pass; other columns of docs are not read, so
+    clashing names don't matter; an empty table gives an empty one.
     """
     return docs.select("doc_id", secret_spans(rules)("text").alias("found"))
 
