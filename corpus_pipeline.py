@@ -24,7 +24,8 @@ MIX = Mix(num=9, den=10, max_epochs=1, seed=23)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; with no labelled document, all of them."""
+    """Documents that the classifier accepts; with no labelled document, all of them. A null or empty text gets the
+    score of no words; repeated rows are judged each."""
     labels = table(spark, sf_dir, "labels")
     if not labels.where("quality is not null and doc_id is not null").take(1):
         return docs.select(*COLUMNS)
@@ -52,19 +53,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret replaced by the name of its kind; n_chars follows."""
+    """All documents, with every secret replaced by the name of its kind; n_chars follows. A null text stays null,
+    repeated rows stay."""
     found = docs.select(*COLUMNS, secret_spans()("text").alias("_s"))
     clean = found.withColumn("text", redact(F.col("text"), F.col("_s")))
     return clean.withColumn("n_chars", F.when(F.size("_s.kinds") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Nine tenths of the words: larger domains, languages and sources are cut towards equal weights, none is repeated."""
+    """Nine tenths of the words: larger domains, languages and sources are cut towards equal weights, none is repeated.
+    Null languages and sources are the blank ones; repeated rows are drawn together."""
     return mixed_documents(docs.select(*COLUMNS), MIX)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit) of every document, with count and digests."""
+    """Token ids (little-endian unsigned 32-bit) of every document, with count and digests; none for a null or empty
+    text. As in all stages, other columns than those of documents aren't read, texts are taken whole, and an empty
+    table gives an empty one."""
     return docs.select("doc_id", "lang", "source", encoded(with_ids=True)("text").alias("t")).select("doc_id", "lang", "source", "t.*")
 
 
@@ -80,4 +85,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = kept.keep(docs)
+            kept.only(docs)
     return docs
