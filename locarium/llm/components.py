@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from .base import Scratch
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, many: int = 4096, most_sent: int = 100_000) -> DataFrame:
     """(id, component) for every id of the edges (columns a, b): component is its smallest
     reachable id, itself included; an id that reaches no smaller one isn't listed.
 
     Large-star links every larger neighbour to the smallest one, small-star every
     smaller neighbour; the rounds end when a round changes nothing, after about
     log(n) of them. Loops, repeated edges and null ends don't matter. Edges stay in
-    tables; a round sends two numbers to the driver.
+    tables; a round sends two numbers to the driver. An id of very many edges (a star's
+    centre) would bring them all to one task, so its smallest neighbour goes to its edges
+    instead: no more than ``most_sent`` ids can have 2 * edges / most_sent of them each.
     """
     now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     before = None
@@ -24,8 +26,10 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if state == before or not state["n"]:
             return now.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("of")).select("u", F.least("u", "m").alias("m"), "of")
+        hot = F.broadcast(least.where(F.col("of") > max(many, 2 * state["n"] // most_sent)).select("u", "m"))
+        up = both.where("v > u")
+        large = up.join(hot, "u", "left_anti").join(least.drop("of"), "u").unionByName(up.join(hot, "u").select("u", "v", "m")).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         # what u itself keeps: its edge to the smallest
         large = large.unionByName(least.where("m < u").select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct()
         smallest = large.groupBy("hi").agg(F.min("lo").alias("m"))

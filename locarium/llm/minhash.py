@@ -251,7 +251,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     stars = members.where("rep <> center").select("rep", "center").distinct()
     stars = stars.join(bounds, "rep").join(bounds.withColumnsRenamed({"rep": "center", "n": "m"}), "center").where(f"{den} * least(n, m) >= {num} * greatest(n, m)").select("rep", "center")
     confirmed = F.pandas_udf(_pair_check(num, den), "boolean").asNondeterministic()
-    pairs = stars.join(sets, "rep").join(sets.withColumnsRenamed({"rep": "center", "shingles": "others"}), "center")
+    # members of a large star are dealt to parts, each with the center's set
+    stars = scratch.keep(stars)
+    parts_of = stars.groupBy("center").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    centers = sets.withColumnsRenamed({"rep": "center", "shingles": "others"}).join(parts_of, "center").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = stars.join(parts_of, "center").select("rep", "center", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"))
+    pairs = dealt.join(sets, "rep").join(centers, ["center", "part"])
     links = scratch.keep(pairs.withColumn("ok", confirmed("shingles", "others")).where("ok").select(F.col("rep").alias("a"), F.col("center").alias("b")))
     comp = connected_components(links, scratch)
 

@@ -35,6 +35,10 @@ def test_components(spark):
     ids = {x for e in edges for x in e if None not in e}
     want = {i: c for i, c in components(ids, [e for e in edges if None not in e]).items() if i != c}
     assert {r.id: r.component for r in got} == want
+    # stars of many edges, and chains between them
+    edges = [(k % 5, 100 + k) for k in range(900)] + [(100 + k, 101 + k) for k in range(0, 900, 90)]
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), many=20).collect()
+    assert {r.id: r.component for r in got} == {i: c for i, c in components({x for e in edges for x in e}, edges).items() if i != c}
 
 
 def shingles(text, width):
