@@ -7,8 +7,11 @@ shuffle by cell and never compare all points with all edges.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locarium.functions.geo import crosses, grid_cell, segment_distance
@@ -16,6 +19,10 @@ from locarium.functions.geo import crosses, grid_cell, segment_distance
 from .lineage import cut
 
 
+#: A row of cells: beyond any column number, so that no two cells share a label.
+_ROW = 1 << 32
+
+
 def segments_of(features: DataFrame) -> DataFrame:
     """Edges of ``geom`` ARRAY<ARRAY<ARRAY<STRUCT<x,y>>>> (X6); a ring repeats its first vertex at the end."""
     rings = features.select("id", F.posexplode("geom").alias("part", "rings")).select("id", "part", F.posexplode("rings").alias("ring", "v"))
@@ -28,10 +35,11 @@ def parts_of(segments: DataFrame) -> DataFrame:
     return segments.where("ring = 0").groupBy("id", "part").agg(F.min("x1").alias("west"), F.min("y1").alias("south"), F.max("x1").alias("east"), F.max("y1").alias("north"))
 
 
-def _cells(rows: DataFrame, size: float, grow: float = 0.0) -> DataFrame:
-    """One row for each grid cell that the box west..north touches."""
-    span = lambda a, b: F.sequence(grid_cell(F.col(a) - grow, size), grid_cell(F.col(b) + grow, size))
-    return rows.withColumn("cx", F.explode(span("west", "east"))).withColumn("cy", F.explode(span("south", "north")))
+def _cells(rows: DataFrame, size: float, wider: Column | None = None, higher: float = 0.0) -> DataFrame:
+    """One row for each grid cell that the box west..north, made wider and higher, touches."""
+    wider = F.lit(0.0) if wider is None else wider
+    rows = rows.withColumn("cx", F.explode(F.sequence(grid_cell(F.col("west") - wider, size), grid_cell(F.col("east") + wider, size))))
+    return rows.withColumn("cy", F.explode(F.sequence(grid_cell(F.col("south") - higher, size), grid_cell(F.col("north") + higher, size))))
 
 
 def _with_cell(points: DataFrame, size: float) -> DataFrame:
@@ -57,8 +65,10 @@ def near_edges(points: DataFrame, segments: DataFrame, tolerance: float, cell: f
     Edges are put into every cell within the tolerance, so that edges across a cell's border count.
     """
     boxes = segments.select("id", "x1", "y1", "x2", "y2", F.least("x1", "x2").alias("west"), F.least("y1", "y2").alias("south"), F.greatest("x1", "x2").alias("east"), F.greatest("y1", "y2").alias("north"))
-    # a degree of longitude is shorter than one of latitude: look as far as the tolerance reaches at 70 degrees
-    near = _with_cell(points.where("x is not null and y is not null"), cell).join(_cells(boxes, cell, 3 * tolerance), ["cx", "cy"])
+    # a degree of longitude is shorter than one of latitude, most so at the end nearer to a pole; at the pole itself all of them are near
+    pole = F.greatest(F.abs("south"), F.abs("north")) + tolerance
+    wider = F.least(F.lit(360.0), F.when(pole < 90, F.lit(tolerance) / F.cos(F.radians(pole))).otherwise(360.0))
+    near = _with_cell(points.where("x is not null and y is not null"), cell).join(_cells(boxes, cell, wider, tolerance), ["cx", "cy"])
     distance = segment_distance(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2")))
     return near.withColumn("distance", distance).where(F.col("distance") < tolerance).groupBy("point", "id").agg(F.min("distance").alias("distance"))
 
@@ -108,11 +118,11 @@ def uncovered(points: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def grid_components(cells: DataFrame) -> DataFrame:
-    """(gx, gy, component): 4-neighbour components (GE13); component is the smallest cell's place in its row order.
+    """(gx, gy, component): 4-neighbour components (GE13); component is the smallest cell's gy * 2 ** 32 + gx.
 
     Every cell takes the smallest label around, and then its label's own label, until nothing changes.
     """
-    label = F.col("gy").cast("long") * 1_000_000 + F.col("gx")
+    label = F.col("gy").cast("long") * _ROW + F.col("gx")
     now = cut(cells.select("gx", "gy", label.alias("component")))
     moves = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]))
     while True:
@@ -120,7 +130,7 @@ def grid_components(cells: DataFrame) -> DataFrame:
         best = around.groupBy("gx", "gy").agg(F.min("component").alias("least"))
         step = now.join(best, ["gx", "gy"])
         # a component's own cell may have moved on: follow it
-        jump = step.select((F.col("gy").cast("long") * 1_000_000 + F.col("gx")).alias("least"), F.col("least").alias("further"))
+        jump = step.select(label.alias("least"), F.col("least").alias("further"))
         new = cut(step.join(jump, "least", "left").select("gx", "gy", "component", F.least("least", "further").alias("now")))
         if not new.where("now <> component").take(1):
             return new.select("gx", "gy", "component")
@@ -178,8 +188,8 @@ def stitched(edges: DataFrame) -> DataFrame:
 
 
 def label_points(segments: DataFrame, precision: float = 0.005) -> DataFrame:
-    """(id, x, y): the point of each polygon's largest part that is farthest from its edges
-    (GE6, GE7), by refining the best squares of a grid; 4 decimals."""
+    """(id, x, y): the point of each polygon's largest part that is farthest from its edges (GE7), by
+    refining the best squares of a grid; 4 decimals. Distances are true to scale at the part's first vertex."""
 
     def inside_by(x: float, y: float, rings: list[pd.DataFrame]) -> float:
         inside, least = False, float("inf")
@@ -196,6 +206,8 @@ def label_points(segments: DataFrame, precision: float = 0.005) -> DataFrame:
         return least if inside else -least
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        scale = max(1e-6, math.cos(math.radians(rows.sort_values(["ring", "seq"])["y1"].iat[0])))
+        rows = rows.assign(x1=rows["x1"] * scale, x2=rows["x2"] * scale)
         rings = [r for _, r in rows.groupby("ring")]
         west, east, south, north = rows["x1"].min(), rows["x1"].max(), rows["y1"].min(), rows["y1"].max()
         half = max(min(east - west, north - south) / 2, precision)
@@ -211,13 +223,38 @@ def label_points(segments: DataFrame, precision: float = 0.005) -> DataFrame:
             rated = sorted(((inside_by(x, y, rings), x, y, h) for x, y, h in todo), reverse=True)
             best = max(best, rated[0][:3])
             todo = [(x + a * h / 2, y + b * h / 2, h / 2) for d, x, y, h in rated if d + h * 2**0.5 > best[0] + precision for a in (-1, 1) for b in (-1, 1)]
-        return pd.DataFrame({"id": [rows["id"].iat[0]], "x": [round(best[1], 4)], "y": [round(best[2], 4)]})
+        return pd.DataFrame({"id": [rows["id"].iat[0]], "x": [round(best[1] / scale, 4)], "y": [round(best[2], 4)]})
 
     largest = segments.join(largest_parts(segments).select("id", "part"), ["id", "part"], "left_semi")
     kind = dict(segments.dtypes)["id"]
     return largest.groupBy("id").applyInPandas(run, f"id {kind}, x double, y double")
 
 
+def interior_points(segments: DataFrame, most: int = 200) -> DataFrame:
+    """(id, part, ring, x, y): a point inside each ring (GE6): the first of a grid of 4, 8, 16... by as many that is
+    inside, from west to east and then from south to north; the mean vertex, if none below ``most`` is."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x1, y1, x2, y2 = (rows[c].to_numpy() for c in ("x1", "y1", "x2", "y2"))
+        rise = np.where(y2 != y1, y2 - y1, 1.0)
+        west, east, south, north, n, found = x1.min(), x1.max(), y1.min(), y1.max(), 4, (x1.mean(), y1.mean())
+        while n < most:
+            k = np.arange(1, n)
+            y = south + (north - south) * k / n
+            spans = (y1 > y[:, None]) != (y2 > y[:, None])
+            at = (x2 - x1) * (y[:, None] - y1) / rise + x1
+            inside = np.array([((spans & (x < at)).sum(1) % 2).astype(bool) for x in west + (east - west) * k / n])
+            if inside.any():
+                i, j = np.argwhere(inside)[0]
+                found = (west + (east - west) * (i + 1) / n, y[j])
+                break
+            n *= 2
+        return pd.DataFrame({"id": [rows["id"].iat[0]], "part": [rows["part"].iat[0]], "ring": [rows["ring"].iat[0]], "x": [found[0]], "y": [found[1]]})
+
+    kinds = dict(segments.dtypes)
+    return segments.groupBy("id", "part", "ring").applyInPandas(run, f"id {kinds['id']}, part {kinds['part']}, ring {kinds['ring']}, x double, y double")
+
+
 def zoom_clusters(places: DataFrame, zoom: int, pixels: int = 40) -> DataFrame:
     """Counts of places by squares of a Web Mercator map (A19): a documented approximation of greedy clusters."""
     world = 256 * 2**zoom

@@ -1,7 +1,9 @@
-"""Boundary queries over literal shapes and derived points."""
+"""Boundary queries over shapes and points derived from tables."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from locarium.functions import text as T
@@ -30,18 +32,24 @@ _ROWS = [
     for r, ring in enumerate(rings)
     for k, (a, b) in enumerate(zip(ring, ring[1:], strict=False))
 ]
-_SEG = "(SELECT * FROM (VALUES " + ", ".join(f"('{n}', {p}, {r}, {k}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for n, p, r, k, a, b, c, d in _ROWS) + ") AS s(id, part, ring, seq, x1, y1, x2, y2))"
-_PTS = "(SELECT c_custkey AS point, (c_custkey * 37 % 1100) / 100.0::DOUBLE + 0.005 AS x, (c_custkey * 53 % 1090) / 100.0::DOUBLE + 0.005 AS y FROM customer)"
+#: One set of shapes for each supplier, 20 degrees east of the one before.
+_LITERAL = "(SELECT * FROM (VALUES " + ", ".join(f"('{n}', {p}, {r}, {k}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for n, p, r, k, a, b, c, d in _ROWS) + ") AS s(id, part, ring, seq, x1, y1, x2, y2))"
+_SEG = f"(SELECT id || '-' || s_suppkey AS id, part, ring, seq, x1 + 20.0::DOUBLE * s_suppkey AS x1, y1, x2 + 20.0::DOUBLE * s_suppkey AS x2, y2 FROM {_LITERAL}, supplier)"
+_PTS = "(SELECT c_custkey AS point, (c_custkey * 37 % 1100) / 100.0::DOUBLE + 0.005 + 20.0::DOUBLE * (c_custkey % 100) AS x, (c_custkey * 53 % 1090) / 100.0::DOUBLE + 0.005 AS y FROM customer)"
 
 
-def _segments(spark):
-    features = spark.createDataFrame([(n, [[[(float(x), float(y)) for x, y in ring] for ring in rings] for rings in parts]) for n, parts in SHAPES.items()], "id string, geom array<array<array<struct<x: double, y: double>>>>")
-    return S.segments_of(features)
+def _segments(spark, sf_dir):
+    kind = "array<struct<id: string, geom: array<array<array<struct<x: double, y: double>>>>>>"
+    shapes = F.from_json(F.lit(json.dumps([{"id": n, "geom": [[[{"x": x, "y": y} for x, y in ring] for ring in rings] for rings in parts]} for n, parts in SHAPES.items()])), kind)
+    k = F.col("s_suppkey")
+    east = lambda geom: F.transform(geom, lambda rings: F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct((p["x"] + F.lit(20.0) * k).alias("x"), p["y"].alias("y")))))
+    rows = load(spark, sf_dir, "supplier").select(k, F.explode(shapes).alias("s"))
+    return S.segments_of(rows.select(F.concat_ws("-", "s.id", k.cast("string")).alias("id"), east(F.col("s.geom")).alias("geom")))
 
 
 def _customers(spark, sf_dir):
     k = F.col("c_custkey")
-    return load(spark, sf_dir, "customer").select(k.alias("point"), ((k * 37 % 1100) / F.lit(100.0) + 0.005).alias("x"), ((k * 53 % 1090) / F.lit(100.0) + 0.005).alias("y"))
+    return load(spark, sf_dir, "customer").select(k.alias("point"), ((k * 37 % 1100) / F.lit(100.0) + 0.005 + F.lit(20.0) * (k % 100)).alias("x"), ((k * 53 % 1090) / F.lit(100.0) + 0.005).alias("y"))
 
 
 def _pip(points: str) -> str:
@@ -58,70 +66,70 @@ _DIST = f"sqrt(pow((x - x1) * {_K} - {_T} * ((x2 - x1) * {_K}), 2) + pow((y - y1
 @query(f"SELECT DISTINCT point, id FROM {_pip(_PTS)}")
 def point_in_polygon(spark, sf_dir):
     """J6 GE2: which shapes hold a point."""
-    return S.containing(_customers(spark, sf_dir), _segments(spark))
+    return S.containing(_customers(spark, sf_dir), _segments(spark, sf_dir))
 
 
 @query(f"SELECT point, id, round(min({_DIST}), 6) AS distance FROM {_PTS} p, {_SEG} s GROUP BY ALL HAVING min({_DIST}) < 0.3")
 def nearest_edge(spark, sf_dir):
     """J7 GE3: shapes with an edge within a tolerance, across cells too."""
-    return S.near_edges(_customers(spark, sf_dir), _segments(spark), 0.3).withColumn("distance", F.round("distance", 6))
+    return S.near_edges(_customers(spark, sf_dir), _segments(spark, sf_dir), 0.3).withColumn("distance", F.round("distance", 6))
 
 
 @query(f"""WITH i AS (SELECT DISTINCT point, id FROM {_pip(_PTS)}) SELECT point, id, 'inside' AS how FROM i UNION ALL
 SELECT point, id, 'edge' FROM {_PTS} p, {_SEG} s WHERE point NOT IN (SELECT point FROM i) GROUP BY point, id HAVING min({_DIST}) < 0.3""")
 def point_group_with_fallback(spark, sf_dir):
     """Inside, else near an edge."""
-    return S.assigned(_customers(spark, sf_dir), _segments(spark), 0.3)
+    return S.assigned(_customers(spark, sf_dir), _segments(spark, sf_dir), 0.3)
 
 
 @query(f"SELECT id, part, ring, sum(x1 * y2 - x2 * y1) / 2 AS area FROM {_SEG} GROUP BY ALL")
 def polygon_areas(spark, sf_dir):
     """GE4 GE11 X6: signed areas of outer rings and holes."""
-    return S.ring_areas(_segments(spark))
+    return S.ring_areas(_segments(spark, sf_dir))
 
 
 @query(f"SELECT id, part, area FROM (SELECT id, part, abs(sum(x1 * y2 - x2 * y1) / 2) AS area FROM {_SEG} WHERE ring = 0 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY area DESC, part) = 1")
 def largest_part(spark, sf_dir):
     """The largest part, the first of equal ones."""
-    return S.largest_parts(_segments(spark))
+    return S.largest_parts(_segments(spark, sf_dir))
 
 
 @query(f"SELECT id, part, round(avg(x1), 1) AS x, round(avg(y1), 1) AS y, min(x1) AS west, max(y1) AS north FROM {_SEG} WHERE ring = 0 GROUP BY ALL")
 def part_centroids(spark, sf_dir):
     """GE5 GE8 A5: vertex means as keys, and boxes."""
-    seg = _segments(spark)
+    seg = _segments(spark, sf_dir)
     return S.centroids(seg).join(S.parts_of(seg).select("id", "part", "west", "north"), ["id", "part"])
 
 
 @query(f"SELECT id, part, ring, CAST(count(*) AS BIGINT) AS edges FROM {_SEG} WHERE ring > 0 GROUP BY ALL")
 def holes(spark, sf_dir):
     """GE11: holes as rings of their own."""
-    return _segments(spark).where("ring > 0").groupBy("id", "part", "ring").agg(F.count("*").alias("edges"))
+    return _segments(spark, sf_dir).where("ring > 0").groupBy("id", "part", "ring").agg(F.count("*").alias("edges"))
 
 
-_GRID = "(SELECT n AS point, CAST(n % 40 AS INTEGER) AS gx, CAST(n // 40 AS INTEGER) AS gy, 0.1 + (n % 40) * 0.3::DOUBLE AS x, 0.1 + (n // 40) * 0.3::DOUBLE AS y FROM (SELECT unnest(range(1600)) AS n))"
+_GRID = "(SELECT n AS point, CAST(n % 40 AS INTEGER) AS gx, CAST(n // 40 AS INTEGER) AS gy, 20.1 + (n % 40) * 0.3::DOUBLE AS x, 0.1 + (n // 40) * 0.3::DOUBLE AS y FROM (SELECT unnest(range(1600)) AS n))"
 
 
 def _grid(spark):
-    return S.sample_grid(spark, 0.0, 0.0, 40, 40, 0.3, 0.1)
+    return S.sample_grid(spark, 20.0, 0.0, 40, 40, 0.3, 0.1)
 
 
 @query(f"""WITH h AS (SELECT DISTINCT point, id FROM {_pip(_GRID)}), p AS (SELECT a.id AS a, b.id AS b, a.point FROM h a JOIN h b ON a.point = b.point AND a.id < b.id)
 SELECT a, b, count(*) AS points, arg_min(x, point) AS x, arg_min(y, point) AS y FROM p JOIN {_GRID} USING (point) GROUP BY a, b""")
 def overlap_pairs(spark, sf_dir):
     """A6 GE12 D15: shapes that share sample points."""
-    return S.overlaps(S.containing(_grid(spark), _segments(spark)), _grid(spark))
+    return S.overlaps(S.containing(_grid(spark), _segments(spark, sf_dir)), _grid(spark))
 
 
-@query(f"SELECT point, gx, gy FROM {_GRID} WHERE x < 10 AND y < 10 AND point NOT IN (SELECT point FROM {_pip(_GRID)})")
+@query(f"SELECT point, gx, gy FROM {_GRID} WHERE x < 30 AND y < 10 AND point NOT IN (SELECT point FROM {_pip(_GRID)})")
 def coverage_gaps(spark, sf_dir):
     """D15 GE12: sample points within the whole that no shape holds."""
-    land = _grid(spark).where("x < 10 and y < 10")
-    return S.uncovered(land, S.containing(land, _segments(spark))).select("point", "gx", "gy")
+    land = _grid(spark).where("x < 30 and y < 10")
+    return S.uncovered(land, S.containing(land, _segments(spark, sf_dir))).select("point", "gx", "gy")
 
 
-@query(f"""WITH RECURSIVE g AS (SELECT gx, gy FROM {_GRID} WHERE x < 10 AND y < 10 AND point NOT IN (SELECT point FROM {_pip(_GRID)})),
-r AS (SELECT gx, gy, CAST(gy AS BIGINT) * 1000000 + gx AS c FROM g UNION SELECT g.gx, g.gy, r.c FROM r JOIN g ON abs(g.gx - r.gx) + abs(g.gy - r.gy) = 1)
+@query(f"""WITH RECURSIVE g AS (SELECT gx, gy FROM {_GRID} WHERE x < 30 AND y < 10 AND point NOT IN (SELECT point FROM {_pip(_GRID)})),
+r AS (SELECT gx, gy, CAST(gy AS BIGINT) * 4294967296 + gx AS c FROM g UNION SELECT g.gx, g.gy, r.c FROM r JOIN g ON abs(g.gx - r.gx) + abs(g.gy - r.gy) = 1)
 SELECT gx, gy, min(c) AS component FROM r GROUP BY gx, gy""")
 def grid_components(spark, sf_dir):
     """GE13: gaps as 4-neighbour components."""
@@ -131,39 +139,54 @@ def grid_components(spark, sf_dir):
 @query(f"SELECT x1 AS x, y1 AS y, list_sort(list(DISTINCT id)) AS owners FROM {_SEG} GROUP BY x1, y1")
 def vertex_owners(spark, sf_dir):
     """Who shares a vertex."""
-    return S.vertex_owners(_segments(spark))
+    return S.vertex_owners(_segments(spark, sf_dir))
 
 
 @query(f"""SELECT DISTINCT id, part FROM {_SEG} s WHERE (id, part) NOT IN (SELECT (id, part) FROM (SELECT id, part, abs(sum(x1 * y2 - x2 * y1)) AS area FROM {_SEG} WHERE ring = 0 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY area DESC, part) = 1)
   AND NOT EXISTS (SELECT 1 FROM {_SEG} a, {_SEG} b WHERE a.id = s.id AND a.part = s.part AND b.id <> s.id AND a.x1 = b.x1 AND a.y1 = b.y1)""")
 def island_parts(spark, sf_dir):
     """Detached parts that touch nobody."""
-    return S.island_parts(_segments(spark))
+    return S.island_parts(_segments(spark, sf_dir))
 
 
-_MERGED = "(SELECT CASE WHEN id IN ('square', 'right', 'ell') THEN 'west' ELSE id END AS \"group\", s.* FROM " + _SEG + " s WHERE id <> 'over')"
+_MERGED = "(SELECT CASE WHEN split_part(id, '-', 1) IN ('square', 'right', 'ell') THEN 'west-' || split_part(id, '-', 2) ELSE id END AS \"group\", s.* FROM " + _SEG + " s WHERE NOT starts_with(id, 'over'))"
 
 
-def _groups(spark):
-    return spark.createDataFrame([(n, "west" if n in ("square", "right", "ell") else n) for n in SHAPES if n != "over"], "id string, group string")
+def _groups(spark, sf_dir):
+    names = _segments(spark, sf_dir).select("id").distinct().where("not startswith(id, 'over')")
+    shape, of = F.substring_index("id", "-", 1), F.substring_index("id", "-", -1)
+    return names.select("id", F.when(shape.isin("square", "right", "ell"), F.concat(F.lit("west-"), of)).otherwise(F.col("id")).alias("group"))
 
 
 @query(f"""SELECT "group", CASE WHEN (x1, y1) < (x2, y2) THEN x1 ELSE x2 END AS ax, CASE WHEN (x1, y1) < (x2, y2) THEN y1 ELSE y2 END AS ay, CASE WHEN (x1, y1) < (x2, y2) THEN x2 ELSE x1 END AS bx, CASE WHEN (x1, y1) < (x2, y2) THEN y2 ELSE y1 END AS by FROM {_MERGED} GROUP BY ALL HAVING count(*) % 2 = 1""")
 def dissolve_edges(spark, sf_dir):
     """Outlines of merged shapes; shared edges cancel out."""
-    return S.dissolved_edges(_segments(spark), _groups(spark))
+    return S.dissolved_edges(_segments(spark, sf_dir), _groups(spark, sf_dir))
 
 
 @query()
 def dissolved_rings(spark, sf_dir):
     """The outlines as rings."""
-    return S.stitched(S.dissolved_edges(_segments(spark), _groups(spark)))
+    return S.stitched(S.dissolved_edges(_segments(spark, sf_dir), _groups(spark, sf_dir)))
+
+
+def _inside(x: str, y: str) -> str:
+    return f"sum(CASE WHEN (y1 > {y}) <> (y2 > {y}) AND {x} < (x2 - x1) * ({y} - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) % 2 = 1"
+
+
+@query(f"""WITH b AS (SELECT id, part, ring, min(x1) AS w, max(x1) AS e, min(y1) AS s, max(y1) AS n FROM {_SEG} GROUP BY ALL), g AS (SELECT b.*, m, i, j, w + (e - w) * i / m AS x, s + (n - s) * j / m AS y FROM b, (VALUES (4), (8)) AS m(m), range(1, 8) AS i(i), range(1, 8) AS j(j) WHERE i < m AND j < m),
+h AS (SELECT g.id, g.part, g.ring, m, i, j, x, y FROM g JOIN {_SEG} t ON t.id = g.id AND t.part = g.part AND t.ring = g.ring GROUP BY ALL HAVING {_inside("x", "y")})
+SELECT id, part, ring, round(x, 6) AS x, round(y, 6) AS y FROM h QUALIFY row_number() OVER (PARTITION BY id, part, ring ORDER BY m, i, j) = 1""")
+def interior_points(spark, sf_dir):
+    """GE6: a point inside each ring, by a grid that gets finer."""
+    rows = S.interior_points(_segments(spark, sf_dir))
+    return rows.select("id", "part", "ring", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query()
 def label_points(spark, sf_dir):
-    """GE6 GE7: where to put a label."""
-    return S.label_points(_segments(spark))
+    """GE7: where to put a label."""
+    return S.label_points(_segments(spark, sf_dir))
 
 
 @query(f"""SELECT CAST(floor((lon + 180) / 360 * 4096 / 40) AS BIGINT) AS cx, CAST(floor((0.5 - ln(tan(0.7853981633974483 + radians(lat) / 2)) / (2 * 3.141592653589793)) * 4096 / 40) AS BIGINT) AS cy, count(*) AS places
@@ -244,9 +267,11 @@ def stale_exceptions(spark, sf_dir):
     return allowed.join(rows, "key", "left_anti")
 
 
-@query(f"""SELECT r_name AS name, id, CASE WHEN id IS NULL THEN 'no shape' ELSE 'ok' END AS status FROM region LEFT JOIN (SELECT DISTINCT id, CASE id WHEN 'square' THEN 0 WHEN 'right' THEN 1 WHEN 'ell' THEN 2 END AS k FROM {_SEG}) ON k = r_regionkey""")
+@query(f"""SELECT c_custkey AS customer, id, CASE WHEN id IS NULL THEN 'no shape' ELSE 'ok' END AS status FROM customer LEFT JOIN (SELECT DISTINCT id FROM {_SEG}) ON id = ['square-', 'circle-', 'ell-'][c_custkey % 3 + 1] || (c_custkey // 3)""")
 def shape_join(spark, sf_dir):
     """Properties with their shapes; a missing one is an error."""
-    shapes = spark.createDataFrame([("square", 0), ("right", 1), ("ell", 2)], "id string, r_regionkey int")
-    built = _segments(spark).select("id").distinct().join(shapes, "id")
-    return load(spark, sf_dir, "region").join(built, "r_regionkey", "left").select(F.col("r_name").alias("name"), "id", F.when(F.col("id").isNull(), "no shape").otherwise("ok").alias("status"))
+    k = F.col("c_custkey")
+    wanted = F.concat(F.element_at(F.array(F.lit("square-"), F.lit("circle-"), F.lit("ell-")), (k % 3 + 1).cast("int")), F.floor(k / 3).cast("string"))
+    built = _segments(spark, sf_dir).select("id").distinct()
+    rows = load(spark, sf_dir, "customer").select(k.alias("customer"), wanted.alias("id")).join(built.withColumn("there", F.lit(True)), "id", "left")
+    return rows.select("customer", F.when(F.col("there"), F.col("id")).alias("id"), F.when(F.col("there"), "ok").otherwise("no shape").alias("status"))
