@@ -24,6 +24,14 @@ def faceted(places: DataFrame, chosen: dict[str, list], multiple: tuple[str, ...
     return places.where(reduce(lambda a, b: a & b, active)) if active else places
 
 
+def by_controls(places: DataFrame, controls: dict[str, tuple[str, bool]], chosen: dict[str, list]) -> DataFrame:
+    """Facets by the names of their controls (F3): ``controls`` maps each to its field and whether that holds several
+    answers; a control that isn't mapped is an error."""
+    if unknown := sorted(set(chosen) - set(controls)):
+        raise ValueError(f"no such controls: {', '.join(unknown)}")
+    return faceted(places, {controls[c][0]: v for c, v in chosen.items()}, tuple(f for f, several in controls.values() if several))
+
+
 def keyword_search(places: DataFrame, query: str, columns: list[str], hidden: tuple[str, ...] = ()) -> DataFrame:
     """Rows in which every word of the query stands somewhere in the columns (F4, F5); none for a blank query."""
     words = query.lower().split()

@@ -1,6 +1,6 @@
 """Queries over the directory operators, each with the SQL that must give the same rows."""
 
-from . import decisions, directory, merging, normalising, pages, spatial
+from . import decisions, directory, files, merging, normalising, pages, spatial
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "decisions", "directory", "merging", "normalising", "pages", "spatial"]
+__all__ = ["ORACLE_SQL", "QUERIES", "decisions", "directory", "files", "merging", "normalising", "pages", "spatial"]

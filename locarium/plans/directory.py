@@ -182,3 +182,17 @@ def miles_text(spark, sf_dir):
     """F16: miles with one decimal."""
     rows = O.with_miles(places(spark, sf_dir).where(P.has_coordinates()), *_ORIGIN)
     return rows.select("id", F.format_string("%.1f mi", "miles").alias("said"))
+
+
+#: Ten controls: the field that each is about, and whether it holds several answers.
+CONTROLS = {f"pick-{n}": (f"a{n}", n % 3 == 0) for n in range(1, 11)}
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 2 IN (1) AND (c_custkey % 4 IN (0, 3) OR c_custkey % 7 IN (0, 3)) AND c_custkey % 11 IN (1, 2, 3, 4, 5)")
+def facets_by_control(spark, sf_dir):
+    """Ten facets by the names of their controls, some with several answers, most without a choice."""
+    k = F.col("c_custkey")
+    answers = [F.concat_ws("; ", (k % (n + 1)).cast("string"), (k % 7).cast("string")).alias(f"a{n}") if n % 3 == 0 else (k % (n + 1)).cast("string").alias(f"a{n}") for n in range(1, 11)]
+    rows = load(spark, sf_dir, "customer").select(k, *answers)
+    chosen = {"pick-1": ["1"], "pick-3": ["0", "3"], "pick-5": [], "pick-10": ["1", "2", "3", "4", "5"]}
+    return O.by_controls(rows, CONTROLS, chosen).select("c_custkey")
