@@ -174,7 +174,7 @@ def lead_people(spark, sf_dir):
 
 @query(f"""SELECT r.id, current_value, CASE WHEN v = 1 THEN 'Prof. ' ELSE '' END || coalesce(o.name, e.name) AS new_value, CASE WHEN v = 0 THEN 'add' ELSE 'replace' END AS action
 FROM (SELECT c_custkey AS id, c_custkey % 4 AS v, ['', 'Prof. Zed Zoe', 'Ann Doe', 'Al Poe'][c_custkey % 4 + 1] AS current_value FROM customer) r LEFT JOIN {_person_sql(True)} o ON o.id = r.id LEFT JOIN {_person_sql(False)} e ON e.id = r.id AND v = 0
-WHERE coalesce(o.name, e.name) IS NOT NULL AND CASE v WHEN 2 THEN coalesce(o.name, '') = 'Bo Roe' AND NOT EXISTS (SELECT 1 FROM {_PEOPLE} p WHERE p.id = r.id AND role <> 'other' AND value IN ('Ann Doe', 'A. Doe')) ELSE true END""")
+WHERE coalesce(o.name, e.name) IS NOT NULL AND CASE v WHEN 2 THEN coalesce(o.name, '') IN ('Bo Roe', 'Cy Poe-Doe') AND NOT EXISTS (SELECT 1 FROM {_PEOPLE} p WHERE p.id = r.id AND role <> 'other' AND value IN ('Ann Doe', 'A. Doe')) ELSE true END""")
 def lead_name_changes(spark, sf_dir):
     """Another lead, if the current one is named in no such role; a recorded title stays."""
     c = F.col("c_custkey")
