@@ -226,6 +226,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     buckets = keyed.groupBy("key").agg(F.count("*").alias("of"), center.alias("center"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("of > 1")
     buckets = buckets.groupBy("of", "center", "members").agg(F.min("key").alias("key"))
     members = scratch.keep(keyed.drop("score").join(buckets.drop("members"), "key"))
+    scratch.drop(tensor)
 
     # full sets of the candidates, from their texts
     wanted = scratch.keep(members.select("rep").distinct().join(classes.select("rep", "key", "f1", "f2"), "rep"))
@@ -244,6 +245,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     texts = docs.select(row_key().alias("key"), "text").join(found, "key")
     sets = texts.select("rep", "f1", "f2", text_udf(full, "g1 long, g2 long, shingles binary")("text").alias("s")).where("s.g1 = f1 and s.g2 = f2")
     sets = scratch.keep(sets.groupBy("rep").agg(F.first("s.shingles").alias("shingles")))
+    scratch.drop(wanted)
 
     # stars: every member with the smallest of its bucket
     size = F.length("shingles") / 8
@@ -259,11 +261,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     pairs = dealt.join(sets, "rep").join(centers, ["center", "part"])
     links = scratch.keep(pairs.withColumn("ok", confirmed("shingles", "others")).where("ok").select(F.col("rep").alias("a"), F.col("center").alias("b")))
     comp = connected_components(links, scratch)
+    scratch.drop(stars, links)
 
     # buckets that still hold several components, in blocks
     # (those of one center that share a half key go together: a group of copies shares most of its buckets)
     known = members.where("of > 2").select(F.xxhash64("x", "center").alias("key"), "rep").distinct()
     known = scratch.keep(known.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")))
+    scratch.drop(members)
     mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("of")).where("low < high").select("key", "of")
     halves_of = classes.select("rep", "n", F.transform(F.concat("a", "b"), lambda x: F.shiftright(x, 32).cast("int")).alias("keys"))
     dealt = _dealt(known.join(mixed, "key"), "of", 2 * block, ["key", "rep", "comp"]).join(halves_of, "rep")
@@ -271,6 +275,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     parts = spread(docs)
     alike = dealt.repartition(parts, "key", "p", "q").groupBy("key", "p", "q").applyInPandas(lambda rows: _alike(rows, num, den, agree), "a long, b long")
     clusters = connected_components(scratch.keep(alike.distinct()), scratch)
+    scratch.drop(known)
     # a cluster's root isn't listed, so it is added
     clusters = scratch.keep(clusters.withColumnsRenamed({"id": "rep", "component": "cluster"}).unionByName(clusters.select(F.col("component").alias("rep"), F.col("component").alias("cluster")).distinct()))
     clusters = clusters.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "cluster", F.coalesce("component", "rep").alias("comp"))
