@@ -34,10 +34,22 @@ def give_back() -> None:
         pass
 
 
+#: Most bytes of a batch that goes to a Python worker, where the session names no number of its own.
+BATCH_BYTES = 8 << 20
+
+
+def _bound_batches() -> None:
+    """A batch is held by the JVM, outside its heap, and by the worker: by default 10,000 texts of up to 64 MB together."""
+    spark, name = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark is not None and spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def text_udf(make: Callable[[], Callable[[str], tuple]], schema: str, done: Callable[[], None] = lambda: None) -> Callable[[str | Column], Column]:
     """A column function from a text to a struct, one text at a time over Arrow batches.
 
-    ``make`` runs once in each Python worker task and returns the function of one
+    Batches hold at most :data:`BATCH_BYTES` (a longer text alone more), unless the session
+    sets its own number. ``make`` runs once in each Python worker task and returns the function of one
     text (null arrives as the empty text). Only one text and the results of one
     slice of a batch are held at a time; what the function holds goes when the task
     ends, ``done`` clears what it shares with other tasks of the worker, and freed
@@ -47,6 +59,7 @@ def text_udf(make: Callable[[], Callable[[str], tuple]], schema: str, done: Call
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
+    _bound_batches()
     spark_type = _parse_datatype_string(schema)
     names = [f.name for f in spark_type.fields]
     arrow = [to_arrow_type(f.dataType) for f in spark_type.fields]
