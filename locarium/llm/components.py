@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .base import Scratch
 
-#: An id that has more than one in so many of the edges is hot; there are fewer than so many such ids, in any table.
+#: An id that has more than about one in so many of the edges is hot; there are fewer than three times so many such ids, in any table.
 SHARE = 1024
 
 
@@ -36,8 +36,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if state == before or not state["n"]:
             return now.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        # every edge stands in it twice
-        total = 2 * state["n"]
+        # every edge stands in it twice; as a power of two, so that rounds of like size share compiled code
+        total = 1 << (2 * state["n"]).bit_length() - 1
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("of")).select("u", F.least("u", "m").alias("m"), "of")
         large = _with_least(both.where("v > u"), "u", least, total).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         # what u itself keeps: its edge to the smallest
