@@ -8,7 +8,8 @@ and J = 0.8, once in a million.
 
 1. One pass makes each document's signature; equal sets become one class, and
    only its smallest id goes on.
-2. Half keys that nobody shares are dropped before the tables' keys are formed.
+2. Half keys that nobody shares, and all but one of those with the same members, are
+   dropped before the tables' keys are formed.
 3. Members of a table's bucket are linked to its smallest member (a star), and
    the links are confirmed on full sets.
 4. Buckets that still hold several components are compared within, first by the
@@ -92,7 +93,7 @@ class Signer:
         keys = np.zeros(2 * self.halves, np.uint64)
         for row in _mixed(least).reshape(2 * self.halves, self.rows).T:
             keys = _mixed(keys * _P + row)
-        keys = keys.view(np.int64).tolist()
+        keys = (keys >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
         print1, print2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
         return len(s), print1, print2, keys[: self.halves], keys[self.halves :]
 
@@ -200,24 +201,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     table gives an empty one. Sets hold 64-bit hashes of the word sequences, so two
     sequences of one hash (one pair in 2 ** 64) count as equal. ``agree``: equal half keys of a pair worth a
     comparison; ``block``: rows of a block. ``most_sent``: up to so many candidate ids
-    are broadcast to find their texts; more are joined by a shuffle. With ``keys`` also
+    are broadcast to find their texts and sets; more are joined by a shuffle. With ``keys`` also
     key (:func:`row_key`) and component, a number that differs where an id that stands on
     several texts names several components (null for an empty set).
     """
     spark, (num, den) = docs.sparkSession, similarity
     scratch = Scratch(spark, "minhash")
-    sign = text_udf(partial(Signer, width, halves, rows, seed), "n long, f1 long, f2 long, a array<long>, b array<long>")
+    sign = text_udf(partial(Signer, width, halves, rows, seed), "n long, f1 long, f2 long, a array<int>, b array<int>")
     signed = scratch.keep(docs.select("doc_id", row_key().alias("key"), sign("text").alias("s")).select("doc_id", "key", "s.*"))
     # a class is one set, whatever ids its rows have; rep numbers it
     classes = signed.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
     classes = scratch.keep(classes.withColumn("rep", F.monotonically_increasing_id()))
 
-    # half keys that at least two classes share
-    of = lambda side: F.transform(F.col(side), lambda x, i: F.struct(F.lit(side == "a").alias("first"), F.xxhash64(F.lit(side), i, x).alias("key")))
-    half = classes.select("rep", F.explode(F.concat(of("a"), of("b"))).alias("h")).select("rep", "h.*")
+    # half keys that at least two classes share; a key is its place and its 32 bits, which shuffles write in few bytes
+    half = classes.select("rep", F.posexplode(F.concat("a", "b")).alias("at", "x")).select("rep", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("x").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
+    first = F.col("key") < halves << 32
     shared = half.groupBy("key").agg(F.count("*").alias("of")).where("of > 1")
-    tensor = half.join(shared, "key").groupBy("rep").agg(F.collect_list(F.when(F.col("first"), F.col("key"))).alias("a"), F.collect_list(F.when(~F.col("first"), F.col("key"))).alias("b"), F.sum("of").alias("score"))
+    half = scratch.keep(half.join(shared, "key"))
+    # of a collection's half keys with the same members one is enough: a pair that shares 9 and 9 has one table's key, not 81
+    same = half.groupBy("key", "of").agg(F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("members"))
+    same = same.groupBy(first.alias("first"), "of", "low", "members").agg(F.min("key").alias("key"), F.count("*").alias("times"))
+    tensor = half.drop("of").join(same.select("key", "first", (F.col("of") * F.col("times")).alias("score")), "key")
+    tensor = tensor.groupBy("rep").agg(F.collect_list(F.when(F.col("first"), F.col("key"))).alias("a"), F.collect_list(F.when(~F.col("first"), F.col("key"))).alias("b"), F.sum("score").alias("score"))
     tensor = scratch.keep(tensor.where("size(a) > 0 and size(b) > 0"))
+    scratch.drop(half)
 
     # tables: every pair of half keys; of buckets with the same members one is enough
     keyed = tensor.select("rep", "score", F.explode("a").alias("x"), "b").select("rep", "score", "x", F.explode("b").alias("y")).select("rep", "score", "x", F.xxhash64("x", "y").alias("key"))
@@ -230,7 +237,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
 
     # full sets of the candidates, from their texts
     wanted = scratch.keep(members.select("rep").distinct().join(classes.select("rep", "key", "f1", "f2"), "rep"))
-    found = F.broadcast(wanted) if wanted.count() <= most_sent else wanted
+    sent = lambda ids: F.broadcast(ids) if ids.count() <= most_sent else ids
+    found = sent(wanted)
 
     def full():
         words = _WordHashes()
@@ -244,7 +252,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
 
     texts = docs.select(row_key().alias("key"), "text").join(found, "key")
     sets = texts.select("rep", "f1", "f2", text_udf(full, "g1 long, g2 long, shingles binary")("text").alias("s")).where("s.g1 = f1 and s.g2 = f2")
-    sets = scratch.keep(sets.groupBy("rep").agg(F.first("s.shingles").alias("shingles")))
+    sets = scratch.keep(sets.select("rep", "s.shingles"))
+    # rows of one id and text give their set each; only then are the sets shuffled to leave one
+    if not sets.groupBy("rep").agg(F.count("*").alias("of")).where("of > 1").isEmpty():
+        repeated, sets = sets, scratch.keep(sets.groupBy("rep").agg(F.first("shingles").alias("shingles")))
+        scratch.drop(repeated)
     scratch.drop(wanted)
 
     # stars: every member with the smallest of its bucket
@@ -255,13 +267,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     confirmed = F.pandas_udf(_pair_check(num, den), "boolean").asNondeterministic()
     # members of a large star are dealt to parts, each with the center's set
     stars = scratch.keep(stars)
-    parts_of = stars.groupBy("center").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    centers = sets.withColumnsRenamed({"rep": "center", "shingles": "others"}).join(parts_of, "center").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    dealt = stars.join(parts_of, "center").select("rep", "center", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"))
-    pairs = dealt.join(sets, "rep").join(centers, ["center", "part"])
+    parts_of = scratch.keep(stars.groupBy("center").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
+    centers = sets.withColumnsRenamed({"rep": "center", "shingles": "others"}).join(sent(parts_of), "center").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = scratch.keep(stars.join(parts_of, "center").select("rep", "center", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part")))
+    pairs = sets.join(sent(dealt), "rep").join(centers, ["center", "part"])
     links = scratch.keep(pairs.withColumn("ok", confirmed("shingles", "others")).where("ok").select(F.col("rep").alias("a"), F.col("center").alias("b")))
     comp = connected_components(links, scratch)
-    scratch.drop(stars, links)
+    scratch.drop(stars, parts_of, dealt, links)
 
     # buckets that still hold several components, in blocks
     # (those of one center that share a half key go together: a group of copies shares most of its buckets)
@@ -269,7 +281,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     known = scratch.keep(known.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")))
     scratch.drop(members)
     mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("of")).where("low < high").select("key", "of")
-    halves_of = classes.select("rep", "n", F.transform(F.concat("a", "b"), lambda x: F.shiftright(x, 32).cast("int")).alias("keys"))
+    halves_of = classes.select("rep", "n", F.concat("a", "b").alias("keys"))
     dealt = _dealt(known.join(mixed, "key"), "of", 2 * block, ["key", "rep", "comp"]).join(halves_of, "rep")
     # by an explicit number: few bytes, but much work, which mustn't meet in a few tasks
     parts = spread(docs)
@@ -280,7 +292,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     clusters = scratch.keep(clusters.withColumnsRenamed({"id": "rep", "component": "cluster"}).unionByName(clusters.select(F.col("component").alias("rep"), F.col("component").alias("cluster")).distinct()))
     clusters = clusters.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "cluster", F.coalesce("component", "rep").alias("comp"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("of"))
-    dealt = _dealt(clusters.join(sizes, "cluster"), "of", block, ["cluster", "rep", "comp"]).join(sets, "rep")
+    clusters = scratch.keep(clusters.join(sizes, "cluster"))
+    # the sets of the clusters' members are picked where they are, then dealt
+    dealt = _dealt(sets.join(sent(clusters), "rep"), "of", block, ["cluster", "rep", "comp", "shingles"])
     more = dealt.repartition(parts, "cluster", "p", "q").groupBy("cluster", "p", "q").applyInPandas(lambda rows: _between(rows, num, den), "a long, b long")
     over = connected_components(scratch.keep(more.distinct()), scratch)
 
@@ -289,8 +303,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     named = scratch.keep(named)
     # the smallest id of each component of several classes
     least = scratch.keep(named.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("of")).where("of > 1").drop("of"))
-    least = F.broadcast(least) if least.count() <= most_sent else least
-    named = scratch.keep(named.join(least, "component", "left").select("f1", "f2", "component", F.coalesce("least", "first").alias("name")))
+    named = scratch.keep(named.join(sent(least), "component", "left").select("f1", "f2", "component", F.coalesce("least", "first").alias("name")))
     scratch.only(signed, named)
     give_back()
     out = signed.select("doc_id", "key", "n", "f1", "f2").join(named, ["f1", "f2"], "left")

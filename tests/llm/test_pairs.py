@@ -85,6 +85,30 @@ def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_shuffle(spark):
+    """Where no table is small enough to be broadcast unasked, full sets go through a shuffle once
+    for each star; a row that is repeated gives its set once."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 50_000, 2000)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-40]))]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string")
+    written = lambda: sum(x.totalShuffleWrite() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        got = minhash.near_duplicates(spark.createDataFrame(rows, docs.schema)).collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        moved = written() - before
+        again = minhash.near_duplicates(docs).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i - i % 2) for i, _ in rows]
+    assert sorted((r.doc_id, r.component_id) for r in again) == sorted((i, i - i % 2) for i, _ in rows + rows[:1])
+    assert moved < 3 * sum(8 * r.n_shingles for r in got), moved
+
+
 def test_shared_shingles():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 500, 80).astype(np.uint64)) for _ in range(12)]
