@@ -2,7 +2,9 @@
 
 Polygons travel as ``segments``: (id, part, ring, seq, x1, y1, x2, y2), ring 0 being
 the outer one. Spatial joins have a grid cell as their equality key, so that they
-shuffle by cell and never compare all points with all edges.
+shuffle by cell and never compare all points with all edges. Spark's estimates don't
+count the rows that an explode makes, so a table of edges or cells looks small and would be
+broadcast at any size; its joins ask for a shuffle ("merge").
 """
 
 from __future__ import annotations
@@ -68,7 +70,7 @@ def near_edges(points: DataFrame, segments: DataFrame, tolerance: float, cell: f
     # a degree of longitude is shorter than one of latitude, most so at the end nearer to a pole; at the pole itself all of them are near
     pole = F.greatest(F.abs("south"), F.abs("north")) + tolerance
     wider = F.least(F.lit(360.0), F.when(pole < 90, F.lit(tolerance) / F.cos(F.radians(pole))).otherwise(360.0))
-    near = _with_cell(points.where("x is not null and y is not null"), cell).join(_cells(boxes, cell, wider, tolerance), ["cx", "cy"])
+    near = _with_cell(points.where("x is not null and y is not null"), cell).join(_cells(boxes, cell, wider, tolerance).hint("merge"), ["cx", "cy"])
     distance = segment_distance(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2")))
     return near.withColumn("distance", distance).where(F.col("distance") < tolerance).groupBy("point", "id").agg(F.min("distance").alias("distance"))
 

@@ -152,6 +152,20 @@ def test_haversine_is_symmetric(spark):
     assert one(spark, haversine(F.lit(None).cast("double"), F.lit(0.0), F.lit(0.0), F.lit(0.0))) == float("inf")
 
 
+def boxes_of(spark, n):
+    """Unit squares, each 3 degrees east of the one before, as features that an explode makes from a small table."""
+    corner = lambda dx, dy: F.struct((F.col("id") * 3 + dx).cast("double").alias("x"), F.lit(float(dy)).alias("y"))
+    ring = F.array(*[corner(*p) for p in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+    return S.segments_of(spark.range(n).select("id", F.array(F.array(ring)).alias("geom")))
+
+
+def test_near_edges_broadcasts_no_edges(spark):
+    points = spark.range(50).select(F.col("id").alias("point"), (F.col("id") * 3 + 1.25).alias("x"), F.lit(0.5).alias("y"))
+    found = S.near_edges(points, boxes_of(spark, 50), 0.3)
+    assert {(r.point, r.id, round(r.distance, 3)) for r in found.collect()} == {(k, k, 0.25) for k in range(50)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_topology(spark, tmp_path):
     topo = {"type": "Topology", "transform": {"scale": [0.5, 0.5], "translate": [10, 0]}, "arcs": [[[0, 0], [4, 0], [0, 4]], [[4, 4], [-4, 0], [0, -4]]], "objects": {"units": {"type": "GeometryCollection", "geometries": [{"type": "Polygon", "id": 7, "arcs": [[0, 1]]}, {"type": "Polygon", "id": 8, "arcs": [[-2, -1]], "properties": {"name": "x"}}]}}}
     (tmp_path / "t.json").write_text(json.dumps(topo))
