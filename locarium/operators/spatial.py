@@ -53,9 +53,9 @@ def containing(points: DataFrame, segments: DataFrame, cell: float = 2.0) -> Dat
 
     Cell, then box, then parity: inside the outer ring an odd number of times, and inside no hole.
     """
-    near = _with_cell(points.where("x is not null and y is not null"), cell).join(_cells(parts_of(segments), cell), ["cx", "cy"])
+    near = _with_cell(points.where("x is not null and y is not null"), cell).join(_cells(parts_of(segments), cell).hint("merge"), ["cx", "cy"])
     near = near.where("x >= west and x <= east and y >= south and y <= north").select("point", "x", "y", "id", "part")
-    edges = near.join(segments, ["id", "part"])
+    edges = near.join(segments.hint("merge"), ["id", "part"])
     odd = edges.groupBy("point", "id", "part", "ring").agg((F.sum(crosses(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2")))) % 2).alias("odd"))
     parts = odd.groupBy("point", "id", "part").agg(F.max(F.when(F.col("ring") == 0, F.col("odd")).otherwise(0)).alias("outer"), F.max(F.when(F.col("ring") > 0, F.col("odd")).otherwise(0)).alias("hole"))
     return parts.where("outer = 1 and hole = 0").select("point", "id").distinct()
@@ -78,7 +78,7 @@ def near_edges(points: DataFrame, segments: DataFrame, tolerance: float, cell: f
 def assigned(points: DataFrame, segments: DataFrame, tolerance: float, cell: float = 2.0) -> DataFrame:
     """(point, id, how): the polygons around a point, else those with an edge near it."""
     inside = containing(points, segments, cell)
-    rest = points.join(inside.select("point").distinct(), "point", "left_anti")
+    rest = points.join(inside.select("point").distinct().hint("merge"), "point", "left_anti")
     edge = near_edges(rest, segments, tolerance, cell)
     return inside.withColumn("how", F.lit("inside")).unionByName(edge.select("point", "id").withColumn("how", F.lit("edge")))
 

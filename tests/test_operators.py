@@ -166,6 +166,13 @@ def test_near_edges_broadcasts_no_edges(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_assigned_broadcasts_no_edges(spark):
+    points = spark.range(100).select(F.col("id").alias("point"), (F.floor(F.col("id") / 2) * 3 + F.when(F.col("id") % 2 == 0, 0.5).otherwise(1.25)).alias("x"), F.lit(0.5).alias("y"))
+    found = S.assigned(points, boxes_of(spark, 50), 0.3)
+    assert {tuple(r) for r in found.collect()} == {(k, k // 2, "edge" if k % 2 else "inside") for k in range(100)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_topology(spark, tmp_path):
     topo = {"type": "Topology", "transform": {"scale": [0.5, 0.5], "translate": [10, 0]}, "arcs": [[[0, 0], [4, 0], [0, 4]], [[4, 4], [-4, 0], [0, -4]]], "objects": {"units": {"type": "GeometryCollection", "geometries": [{"type": "Polygon", "id": 7, "arcs": [[0, 1]]}, {"type": "Polygon", "id": 8, "arcs": [[-2, -1]], "properties": {"name": "x"}}]}}}
     (tmp_path / "t.json").write_text(json.dumps(topo))
