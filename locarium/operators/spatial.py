@@ -10,9 +10,11 @@ broadcast at any size; its joins ask for a shuffle ("merge").
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,47 +191,102 @@ def stitched(edges: DataFrame) -> DataFrame:
     return edges.groupBy("group").applyInPandas(run, f"group {kind}, ring int, seq int, x double, y double")
 
 
+#: Pairs of a square and an edge that are computed at a time.
+_PAIRS = 1 << 17
+
+
+def _from_edges(p, x, y, first, count, edges) -> np.ndarray:
+    """For squares around (x, y) in polygons p: the distance of the centre to the nearest edge, negative outside.
+    A polygon's edges are ``count`` from ``first`` on."""
+    out, ends, start = np.empty(len(p)), np.cumsum(count[p]), 0
+    while start < len(p):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _PAIRS, "right")))
+        lens = count[p[start:stop]]
+        begins = np.cumsum(lens) - lens
+        x1, y1, dx, dy, rise, length = edges[:, np.arange(lens.sum()) + np.repeat(first[p[start:stop]] - begins, lens)]
+        px, py = np.repeat(x[start:stop], lens) - x1, np.repeat(y[start:stop], lens)
+        spans = (y1 > py) != (y1 + dy > py)
+        py = py - y1
+        odd = np.logical_xor.reduceat(spans & (px < dx * py / rise), begins)
+        t = ((px * dx + py * dy) / length).clip(0, 1)
+        least = np.sqrt(np.fmin.reduceat((px - t * dx) ** 2 + (py - t * dy) ** 2, begins))
+        out[start:stop] = np.where(odd, least, -least)
+        start = stop
+    return out
+
+
+def _labels(first: np.ndarray, x1, y1, x2, y2, precision: float) -> tuple[np.ndarray, np.ndarray]:
+    """The label points of polygons whose edges begin at ``first``, all refined at once."""
+    count = np.diff(np.append(first, len(x1)))
+    scale = np.array([max(1e-6, math.cos(math.radians(v))) for v in y1[first]])
+    x1, x2 = x1 * np.repeat(scale, count), x2 * np.repeat(scale, count)
+    dx, dy = x2 - x1, y2 - y1
+    edges = np.array([x1, y1, dx, dy, dy + (dy == 0), (dx * dx + dy * dy) + ((dx == 0) & (dy == 0))])
+    west, south, east, north = np.fmin.reduceat(x1, first), np.fmin.reduceat(y1, first), np.fmax.reduceat(x1, first), np.fmax.reduceat(y1, first)
+    half = np.fmax(np.fmin(east - west, north - south) / 2, precision)
+    todo = []
+    for k, (w, s, e, n, h) in enumerate(zip(*(v.tolist() for v in (west, south, east, north, half)), strict=True)):
+        x = w + h
+        while x < e + h:
+            y = s + h
+            while y < n + h:
+                todo.append((k, x, y, h))
+                y += 2 * h
+            x += 2 * h
+    p, x, y, h = np.array(todo, dtype=float).reshape(-1, 4).T
+    p = p.astype(np.int64)
+    best, best_x, best_y = np.full(len(first), -np.inf), (west + east) / 2, (south + north) / 2
+    while len(p):
+        d = _from_edges(p, x, y, first, count, edges)
+        order = np.lexsort((y, x, d, p))
+        top = order[np.append(p[order][1:] != p[order][:-1], True)]
+        q = p[top]
+        better = (d[top] > best[q]) | ((d[top] == best[q]) & ((x[top] > best_x[q]) | ((x[top] == best_x[q]) & (y[top] > best_y[q]))))
+        q, top = q[better], top[better]
+        best[q], best_x[q], best_y[q] = d[top], x[top], y[top]
+        more = d + h * 2**0.5 > best[p] + precision
+        p, h = np.repeat(p[more], 4), np.repeat(h[more] / 2, 4)
+        x = np.repeat(x[more], 4) + np.tile([-1, -1, 1, 1], len(p) // 4) * h
+        y = np.repeat(y[more], 4) + np.tile([-1, 1, -1, 1], len(p) // 4) * h
+    return np.round(best_x / scale, 4), np.round(best_y, 4)
+
+
 def label_points(segments: DataFrame, precision: float = 0.005) -> DataFrame:
     """(id, x, y): the point of each polygon's largest part that is farthest from its edges (GE7), by
-    refining the best squares of a grid; 4 decimals. Distances are true to scale at the part's first vertex."""
-
-    def inside_by(x: float, y: float, rings: list[pd.DataFrame]) -> float:
-        inside, least = False, float("inf")
-        for r in rings:
-            x1, y1, x2, y2 = (r[c].to_numpy() for c in ("x1", "y1", "x2", "y2"))
-            spans = (y1 > y) != (y2 > y)
-            dy = y2 - y1
-            at = (x2 - x1) * (y - y1) / (dy + (dy == 0)) + x1
-            inside ^= bool((spans & (x < at)).sum() % 2)
-            dx = x2 - x1
-            t = ((x - x1) * dx + (y - y1) * dy) / ((dx * dx + dy * dy) + ((dx == 0) & (dy == 0)))
-            t = t.clip(0, 1)
-            least = min(least, float((((x - x1 - t * dx) ** 2 + (y - y1 - t * dy) ** 2) ** 0.5).min()))
-        return least if inside else -least
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        scale = max(1e-6, math.cos(math.radians(rows.sort_values(["ring", "seq"])["y1"].iat[0])))
-        rows = rows.assign(x1=rows["x1"] * scale, x2=rows["x2"] * scale)
-        rings = [r for _, r in rows.groupby("ring")]
-        west, east, south, north = rows["x1"].min(), rows["x1"].max(), rows["y1"].min(), rows["y1"].max()
-        half = max(min(east - west, north - south) / 2, precision)
-        todo, best = [], (-float("inf"), (west + east) / 2, (south + north) / 2)
-        x = west + half
-        while x < east + half:
-            y = south + half
-            while y < north + half:
-                todo.append((x, y, half))
-                y += 2 * half
-            x += 2 * half
-        while todo:
-            rated = sorted(((inside_by(x, y, rings), x, y, h) for x, y, h in todo), reverse=True)
-            best = max(best, rated[0][:3])
-            todo = [(x + a * h / 2, y + b * h / 2, h / 2) for d, x, y, h in rated if d + h * 2**0.5 > best[0] + precision for a in (-1, 1) for b in (-1, 1)]
-        return pd.DataFrame({"id": [rows["id"].iat[0]], "x": [round(best[1] / scale, 4)], "y": [round(best[2], 4)]})
-
-    largest = segments.join(largest_parts(segments).select("id", "part"), ["id", "part"], "left_semi")
+    refining the best squares of a grid; 4 decimals. Distances are true to scale at the part's first vertex.
+
+    Edges come sorted by polygon, and all polygons of a batch are refined together; one that several batches hold waits
+    for its last edge."""
+
+    def starts(ids: pa.Array) -> np.ndarray:
+        codes = ids.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        return np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+
+    def labelled(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        first = starts(rows["id"])
+        x, y = _labels(first, *(rows[c].to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")), precision)
+        return pa.RecordBatch.from_arrays([rows["id"].take(pa.array(first)), pa.array(x), pa.array(y)], ["id", "x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = int(starts(batch["id"])[-1])
+            if held and (last or held[0]["id"][0] != batch["id"][0]):
+                yield labelled([*held, *([batch[:last]] if last else [])])
+                held = []
+            elif last:
+                yield labelled([batch[:last]])
+            held.append(batch[last:])
+        if held:
+            yield labelled(held)
+
+    largest = segments.join(largest_parts(segments).select("id", "part").hint("merge"), ["id", "part"], "left_semi")
     kind = dict(segments.dtypes)["id"]
-    return largest.groupBy("id").applyInPandas(run, f"id {kind}, x double, y double")
+    edges = largest.repartition("id").sortWithinPartitions("id", "ring", "seq").select("id", "x1", "y1", "x2", "y2")
+    return edges.mapInArrow(run, f"id {kind}, x double, y double")
 
 
 def interior_points(segments: DataFrame, most: int = 200) -> DataFrame:

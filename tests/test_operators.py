@@ -173,6 +173,30 @@ def test_assigned_broadcasts_no_edges(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_labels_of_many_polygons_at_once(spark):
+    """No call of Python for each polygon, wherever the batches end; holes, ties and long polygons included."""
+    ring = lambda *pts: [{"x": float(x), "y": float(y)} for x, y in (*pts, pts[0])]
+    holed = [ring((0, 0), (9, 0), (9, 9), (0, 9)), ring((1, 1), (5, 1), (5, 8), (1, 8))]
+    steps = [ring(*[(x / 10, 0) for x in range(20)], *[(2, y / 10) for y in range(20)], (2, 2), (0, 2))]
+    some = [("holed", [holed]), ("long", [steps, [ring((50, 0), (51, 0), (51, 1))]]), ("ell", [[ring((0, 4), (4, 4), (4, 6), (2, 6), (2, 10), (0, 10))]])]
+    segments = S.segments_of(spark.createDataFrame(some, "id string, geom array<array<array<struct<x: double, y: double>>>>"))
+    segments = segments.unionByName(boxes_of(spark, 40).withColumn("id", F.col("id").cast("string")))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = []
+    try:
+        for n in ("10000", "7", "1"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            df = S.label_points(segments)
+            found.append({r.id: (r.x, r.y) for r in df.collect()})
+            assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 43
+    assert all(found[0][str(k)] == (k * 3 + 0.5, 0.5) for k in range(40))
+    off = lambda i, x, y: math.hypot(found[0][i][0] - x, found[0][i][1] - y)
+    assert off("long", 1, 1) < 0.01 and off("holed", 7, 4.5) < 2.6 and off("ell", 1.17, 5) < 0.3
+
+
 def test_topology(spark, tmp_path):
     topo = {"type": "Topology", "transform": {"scale": [0.5, 0.5], "translate": [10, 0]}, "arcs": [[[0, 0], [4, 0], [0, 4]], [[4, 4], [-4, 0], [0, -4]]], "objects": {"units": {"type": "GeometryCollection", "geometries": [{"type": "Polygon", "id": 7, "arcs": [[0, 1]]}, {"type": "Polygon", "id": 8, "arcs": [[-2, -1]], "properties": {"name": "x"}}]}}}
     (tmp_path / "t.json").write_text(json.dumps(topo))
