@@ -152,13 +152,15 @@ def address_changes(records: DataFrame, facts: DataFrame, shown_numbers: DataFra
     """(id, field, current_value, new_value, action, source_url, evidence) of address, city and state.
 
     ``records``: id, address, city, state. ``facts``: id, value, url, evidence, structured, ord. ``shown_numbers``: id,
-    number that the site's pages show. All addresses of a site must match the first (one cluster), none of them the current
-    one, whose number is shown nowhere; they stand on two pages, or one comes from page data. That one is taken, else the
-    commonest, the first of equals. City and state change only with it. ``codes``: state names to codes.
+    number that the site's pages show; those of addresses that aren't page data are shown anyway. All addresses of a site
+    must match the first (one cluster), none of them the current one, whose number is shown nowhere; they stand on two
+    pages, or one comes from page data. That one is taken, else the commonest, the first of equals. City and state change
+    only with it. ``codes``: state names to codes.
     """
+    same_number = ~F.coalesce("structured", F.lit(False)) & (street_number("address") != "") & (street_number("value") == street_number("address"))
     heads = facts.groupBy("id").agg(F.min_by("value", "ord").alias("head"))
     rows = facts.join(heads, "id").join(records.select("id", F.coalesce("address", F.lit("")).alias("address")), "id")
-    counted = rows.groupBy("id", "value").agg(F.bool_and(addresses_match("head", "value")).alias("one"), F.bool_or(addresses_match("address", "value")).alias("shown"), F.count("*").alias("n"), F.min("ord").alias("ord"), F.min_by(F.struct("url", "evidence"), "ord").alias("source"), F.min(F.when(F.col("structured"), F.struct("ord", "value", F.struct("url", "evidence").alias("source")))).alias("data"))
+    counted = rows.groupBy("id", "value").agg(F.bool_and(addresses_match("head", "value")).alias("one"), F.bool_or(addresses_match("address", "value") | same_number).alias("shown"), F.count("*").alias("n"), F.min("ord").alias("ord"), F.min_by(F.struct("url", "evidence"), "ord").alias("source"), F.min(F.when(F.col("structured"), F.struct("ord", "value", F.struct("url", "evidence").alias("source")))).alias("data"))
     common = F.max_by(F.struct("value", "source"), F.struct("n", (-F.col("ord")).alias("first")))
     per = counted.groupBy("id").agg(F.bool_and("one").alias("one"), F.bool_or("shown").alias("shown"), F.min("data").alias("data"), common.alias("common"))
     pages = facts.groupBy("id").agg(F.countDistinct("url").alias("pages"))

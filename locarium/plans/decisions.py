@@ -202,7 +202,8 @@ def address_changes(spark, sf_dir):
     i = F.col("c_custkey")
     address = F.when(i % 4 == 1, F.concat(s(i), F.lit(" North Oak Ave, Waco, TX"))).when(i % 4 == 2, F.concat(s(i + 1), F.lit(" Old Rd, Waco, TX"))).when(i % 4 == 3, "PO Box 5")
     records = load(spark, sf_dir, "customer").select(i.alias("id"), address.alias("address"), F.when(i % 5 == 0, "Mount Vernon").otherwise("Waco").alias("city"), F.when(i % 7 == 0, "Texas").otherwise("OH").alias("state"))
-    numbers = records.select("id", F.when(F.col("id") % 8 == 2, s(F.col("id") + 1)).otherwise("x").alias("number"))
+    # a page shows the number of its addresses, of those in page data too
+    numbers = records.select("id", F.when(F.col("id") % 8 == 2, s(F.col("id") + 1)).otherwise("x").alias("number")).unionByName(facts.select("id", T.street_number("value").alias("number")))
     return D.address_changes(records, facts, numbers, STATES).drop("source_url", "evidence")
 
 

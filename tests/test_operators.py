@@ -94,6 +94,14 @@ def test_decisions(spark):
     assert [(r.id, r.new_value, r.action) for r in D.offers(current, numbers, D.main_contact, lambda a, b: a == b).collect()] == [(2, "8", "add")]
 
 
+def test_an_address_whose_number_is_shown_stays(spark):
+    records = spark.createDataFrame([(k, "12 North Oak Ave, Waco, TX", "Waco", "TX") for k in range(1, 5)], "id int, address string, city string, state string")
+    facts = [(1, "12 Elm St, Waco, TX", "a", False, 1), (1, "12 Elm St, Waco, TX", "b", False, 2), (2, "14 Elm St, Waco, TX", "a", False, 1), (2, "14 Elm St, Waco, TX", "b", False, 2), (3, "12 Elm St, Waco, TX", "a", True, 1), (4, "12 Elm St, Waco, TX", "a", True, 1)]
+    facts = spark.createDataFrame(facts, "id int, value string, url string, structured boolean, ord int").withColumn("evidence", F.lit("e"))
+    shown = spark.createDataFrame([(4, "12")], "id int, number string")
+    assert {(r.id, r.field, r.new_value) for r in D.address_changes(records, facts, shown, {}).collect()} == {(2, "address", "14 Elm St, Waco, TX"), (3, "address", "12 Elm St, Waco, TX")}
+
+
 def test_changes_and_hashes_keep_apart(spark):
     rows = spark.createDataFrame([(1, None, "x"), (2, "a", None)], "id int, a string, b string")
     changes = spark.createDataFrame([(1, "a", None, "new"), (2, "a", None, "no"), (2, "b", None, "add"), (3, "a", None, "none")], "id int, field string, current_value string, new_value string")

@@ -45,6 +45,18 @@ def test_query(spark, oracle, name):
         assert got
 
 
+def test_address_changes_where_all_orders_say_elm(spark, tmp_path):
+    """Keys that the tables of the smallest scale lack: sites that show only the current number, on another street, in page data (order 104) or not."""
+    c = duckdb.connect()
+    c.execute(f"copy (select unnest([9, 33, 21, 45]) as c_custkey) to '{tmp_path}/customer.parquet'")
+    c.execute(f"copy (select unnest([4, 8, 104, 12, 17]) as o_orderkey, unnest([9, 9, 33, 21, 21]) as o_custkey) to '{tmp_path}/orders.parquet'")
+    for t in ("customer", "orders"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    df = QUERIES["address_changes"](spark, str(tmp_path))
+    r = c.execute(ORACLE_SQL["address_changes"])
+    assert rows(df.columns, df.collect()) == rows([d[0] for d in r.description], r.fetchall())
+
+
 def test_docstrings_name_operators():
     for name, f in QUERIES.items():
         assert f.__doc__ and ":" in f.__doc__, name
